@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, language_id, media, packing, secrets, token_count
+from . import decontaminate, html_extract, language_id, media, packing, secrets, suffix_dedup, token_count
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -39,7 +43,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_decontamination, op3_html_extraction, op5_token_counts, op6_packing, op8_secret_scan, op9_language_id, op10_media_columns)}
+    return {f.__name__: f for f in (op2_decontamination, op3_html_extraction, op5_token_counts, op6_packing, op7_suffix_dedup, op8_secret_scan, op9_language_id, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
