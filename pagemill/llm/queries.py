@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, language_id, media, packing, secrets, suffix_dedup, token_count
+from . import decontaminate, html_extract, language_id, media, near_dup, packing, secrets, suffix_dedup, token_count
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_decontamination, op3_html_extraction, op5_token_counts, op6_packing, op7_suffix_dedup, op8_secret_scan, op9_language_id, op10_media_columns)}
+    return {f.__name__: f for f in (op2_decontamination, op3_html_extraction, op4_near_dup, op5_token_counts, op6_packing, op7_suffix_dedup, op8_secret_scan, op9_language_id, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
