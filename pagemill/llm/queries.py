@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, language_id, media, near_dup, packing, secrets, suffix_dedup, token_count
+from . import decontaminate, html_extract, language_id, media, near_dup, packing, quality, secrets, suffix_dedup, token_count
 from .common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumn("contaminated", F.lit(True))
@@ -47,7 +51,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_decontamination, op3_html_extraction, op4_near_dup, op5_token_counts, op6_packing, op7_suffix_dedup, op8_secret_scan, op9_language_id, op10_media_columns)}
+    return {f.__name__: f for f in (op1_quality, op2_decontamination, op3_html_extraction, op4_near_dup, op5_token_counts, op6_packing, op7_suffix_dedup, op8_secret_scan, op9_language_id, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
