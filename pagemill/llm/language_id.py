@@ -298,6 +298,20 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return map_batches(id_and_text(df, id_col, text_col), run, f"`{id_col}` long, lang_pred string, score double, rejected boolean, cross_entropy double")
 
 
+def accepted(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` whose text the model doesn't reject, with all their columns. No shuffle."""
+    attach(df.sparkSession)
+    sent = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batch: pa.RecordBatch):
+        for part in slices(batch, text_col):
+            if sent.value.languages:
+                rejected = sent.value.predict(pc.fill_null(part.column(text_col), ""))[2]
+                yield part.filter(pa.array(~rejected))
+
+    return map_batches(df, run, df.schema)
+
+
 def held_out_language(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> DataFrame:
     """Predictions for all rows by a model of the rows whose crc32(id as text) mod 4 is not 2.
 

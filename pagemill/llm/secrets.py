@@ -105,40 +105,52 @@ def _score(text: Column, ratios: list[float]) -> Column:
     return total / (F.length(text) - 1)
 
 
-def scan(df: DataFrame, ratios: list[float] | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, text, spans): spans array<struct<start, kind, stop, found>>, sorted, of every whole text.
-
-    ``start`` and ``stop`` count code points, ``stop`` exclusive; ``kind`` is a place in KINDS. A null text is
-    empty and has no spans; null ids and repeated rows are passed on. A random string that overlaps a base span
-    is left to that span. No shuffle and no Python in the rows' way.
-    """
-    spark = attach(df.sparkSession)
-    ratios = train(samples(spark)) if ratios is None else ratios
-    text = F.col(text_col)
-    found = id_and_text(df, id_col, text_col).select(
-        id_col,
-        text_col,
+def _scanned(rows: DataFrame, ratios: list[float] | None, threshold: float) -> DataFrame:
+    """``rows`` (row, text) with spans; ``row`` is whatever travels along, so its names can't clash."""
+    ratios = train(samples(rows.sparkSession)) if ratios is None else ratios
+    text = F.col("text")
+    found = rows.select(
+        "row",
+        "text",
         F.filter(_where(text.rlike(ASSIGN), _spans(text, ASSIGN, 0)), lambda x: F.length(F.regexp_extract(x["found"], ASSIGN, 2)) >= ASSIGN_LEAST).alias("assign"),
         F.filter(_where(text.contains("AKIA"), _spans(text, ACCESS, 1)), lambda x: x["stop"] - x["start"] >= ACCESS_LEAST).alias("access"),
         # a run of hex digits is a whole match of HEX; those too short are not listed in the first place
         _where(text.rlike(f"[0-9a-f]{{{HEX_LEAST}}}"), _spans(text, f"[0-9a-f]{{{HEX_LEAST},}}+", 2)).alias("hex"),
         F.filter(_where(text.rlike(LONG), _spans(text, LONG, 3)), lambda x: x["found"].rlike("[0-9]") & x["found"].rlike("[A-Za-z]")).alias("long"),
     )
-    base = found.select(id_col, text_col, F.concat("assign", "access", "hex").alias("base"), "long")
-    spans = base.select(
-        id_col,
-        text_col,
-        F.array_sort(
-            F.concat(
-                "base",
-                F.filter(
-                    "long",
-                    lambda x: ~F.exists("base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])) & (_score(x["found"], ratios) > threshold),
-                ),
-            )
-        ).alias("spans"),
+    base = found.select("row", "text", F.concat("assign", "access", "hex").alias("base"), "long")
+    fresh = F.filter(
+        "long",
+        lambda x: ~F.exists("base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])) & (_score(x["found"], ratios) > threshold),
     )
-    return spans
+    return base.select("row", "text", F.array_sort(F.concat("base", fresh)).alias("spans"))
+
+
+def scan(df: DataFrame, ratios: list[float] | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """(id, text, spans): spans array<struct<start, kind, stop, found>>, sorted, of every whole text.
+
+    ``start`` and ``stop`` count code points, ``stop`` exclusive; ``kind`` is a place in KINDS. A null text is
+    empty and has no spans; null ids and repeated rows are passed on. A random string that overlaps a base span
+    is left to that span. No shuffle and no Python in the rows' way.
+    """
+    attach(df.sparkSession)
+    own = id_and_text(df, id_col, text_col).select(F.col(id_col).alias("row"), F.col(text_col).alias("text"))
+    return _scanned(own, ratios, threshold).select(F.col("row").alias(id_col), F.col("text").alias(text_col), "spans")
+
+
+def redact(df: DataFrame, ratios: list[float] | None = None, text_col: str = "text", length_col: str | None = "n_chars", threshold: float = THRESHOLD, mask: str = "[SECRET]") -> DataFrame:
+    """``df`` with every secret in ``text_col`` replaced by ``mask``; a changed row's ``length_col``, if there is one, is counted anew.
+
+    Rows, their order of columns and all other values stay; a text without a secret stays as it is, null too.
+    """
+    attach(df.sparkSession)
+    own = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    masked = _scanned(own, ratios, threshold).select("row", F.when(F.size("spans") > 0, redacted(F.col("text"), F.col("spans"), mask)).alias("masked"))
+    new = {text_col: F.col("masked")}
+    if length_col in df.columns:
+        new[length_col] = F.length("masked").cast(df.schema[length_col].dataType)
+    value = lambda c: F.coalesce(new[c], F.col(f"row.`{c}`")) if c in new else F.col(f"row.`{c}`")
+    return masked.select(*[value(c).alias(c) for c in df.columns])
 
 
 def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
