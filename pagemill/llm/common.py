@@ -100,7 +100,9 @@ def dictionary_of_chunks(texts: pa.Array) -> tuple[np.ndarray, list[str], np.nda
 
 
 def total_by_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Sums of ``values`` between consecutive bounds."""
+    """Sums of ``values`` between consecutive bounds; equal stretches of values have equal sums."""
+    if values.dtype.kind == "f":
+        return np.bincount(np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), weights=values, minlength=len(bounds) - 1)
     running = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values)])
     return running[bounds[1:]] - running[bounds[:-1]]
 

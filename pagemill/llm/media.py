@@ -50,12 +50,14 @@ def _png(b: bytes, at: int) -> tuple[str, int] | None:
 
 def _jpeg(b: bytes, at: int) -> tuple[str, int] | None:
     p, frames = at + 2, 0
-    while p + 4 <= len(b):
+    while p + 2 <= len(b):
         if b[p] != 0xFF:
             return None
         kind = b[p + 1]
         if kind == 0xD9:
             return ("image/jpeg", p + 2 - at) if frames else None
+        if p + 4 > len(b):
+            return None
         size = struct.unpack_from(">H", b, p + 2)[0]
         if kind < 0xC0 or size < 2:
             return None

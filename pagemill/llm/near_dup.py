@@ -10,8 +10,8 @@ Jaccard similarity.
 
 Bands of ROWS coordinates are join keys. Texts are linked if their weighted or their plain Jaccard similarity,
 computed exactly, is SIMILARITY or more; a class is a connected component of links. Members of a bucket
-are compared with pivots, the texts with the most company first: one pivot in the first round, eight times as many
-in each round after it, until a bucket lies in one class or every two of its members that are in different classes
+are compared with pivots, the texts with the most company first: one pivot in the first rounds (over few bands, then
+over all), eight times as many in each round after them, until a bucket lies in one class or every two of its members that are in different classes
 have been compared. So no bucket is capped, and the copies of one text cost one comparison each, not one a pair.
 """
 
@@ -211,6 +211,16 @@ def _compared(pairs: DataFrame) -> DataFrame:
     return map_batches(pairs.select("a", "b", "x", "y"), run, "a long, b long, similarity double")
 
 
+def _rounds(bands: int):
+    """(bands looked at, pivots of a bucket): most links of a large group come from few bands, and those it need not look for again."""
+    yield min(2, bands), 1
+    yield min(8, bands), 1
+    pivots = 1
+    while True:
+        yield bands, pivots
+        pivots *= GROWTH
+
+
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, class_id, class_size, keep) of each row: class_id is the least id of the row's class.
 
@@ -226,25 +236,26 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     texts = signed(docs, "id", "text", bands, rows).groupBy("digest").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("kinds").alias("kinds"), F.first("bands").alias("bands"))
     texts = texts.withColumn("t", F.monotonically_increasing_id()).checkpoint()
 
-    keyed = texts.where("n > 0").select("t", "n", "kinds", F.explode("bands").alias("key"))
+    keyed = texts.where("n > 0").select("t", F.col("n").cast("int").alias("n"), F.col("kinds").cast("int").alias("kinds"), F.posexplode("bands").alias("band", "key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = keyed.join(sizes, "key").checkpoint()
+    members = keyed.join(sizes, "key").select("key", "band", "t", "n", "kinds", "size").checkpoint()
     company = members.groupBy("t").agg(F.sum("size").alias("company")).checkpoint()
-    members = members.join(company, "t").select("key", "t", "n", "kinds", "size", "company").checkpoint()
     wanted = company.select("t").join(texts, "t").select("t", "digest", F.col("first_id").alias("id"))
     with_id = docs.select(F.unhex(F.md5("text")).alias("digest"), "id", "text")
     found = with_id.where("id is not null").join(wanted.where("id is not null"), ["digest", "id"]).select("t", "text")
     no_id = with_id.where("id is null").join(wanted.where("id is null").drop("id"), "digest").select("t", "text")
     bags = _bags(found.unionByName(no_id)).dropDuplicates(["t"]).checkpoint()
 
-    root = company.select("t", F.col("t").alias("root")).checkpoint()
-    tested, pivots = None, 1
-    while True:
-        now = members.join(root, "t")
+    root = company.select("t", F.col("t").alias("root"), "company")
+    tested = None
+    for seen_bands, pivots in _rounds(bands):
+        now = members.where(F.col("band") < seen_bands).join(root, "t")
         split = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
         now = now.join(split, "key").checkpoint()
         largest = now.agg(F.max("size")).first()[0]
         if largest is None:
+            if seen_bands < bands:
+                continue
             break
         salt = F.when(F.col("size") <= pivots, F.col("t")).otherwise(F.pmod(F.xxhash64("t"), F.lit(pivots)))
         chosen = now.groupBy("key", salt.alias("salt")).agg(F.max(F.struct("company", (-F.col("t")).alias("least"), "n", "kinds", "root")).alias("p"))
@@ -255,18 +266,18 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
         pairs = pairs.where(sized("n", "pn") | sized("kinds", "pkinds"))
         pairs = pairs.select(F.least("t", "pt").alias("a"), F.greatest("t", "pt").alias("b")).distinct()
         if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
         left, right = bags.select(F.col("t").alias("a"), F.col("bag").alias("x")), bags.select(F.col("t").alias("b"), F.col("bag").alias("y"))
         done = _compared(pairs.join(left, "a").join(right, "b")).checkpoint()
         links = done.where(F.col("similarity") >= least)
         if not links.isEmpty():
-            ends = links.join(root.withColumnsRenamed({"t": "a", "root": "ra"}), "a").join(root.withColumnsRenamed({"t": "b", "root": "rb"}), "b")
+            names = root.select("t", "root")
+            ends = links.join(names.withColumnsRenamed({"t": "a", "root": "ra"}), "a").join(names.withColumnsRenamed({"t": "b", "root": "rb"}), "b")
             merged = components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-            root = root.join(merged.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("t", F.coalesce("to", "root").alias("root")).checkpoint()
+            root = root.join(merged.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("t", F.coalesce("to", "root").alias("root"), "company").checkpoint()
         tested = done.select("a", "b") if tested is None else tested.unionByName(done.select("a", "b"))
-        if pivots >= largest:
+        if pivots >= largest and seen_bands == bands:
             break
-        pivots *= GROWTH
 
     of_text = texts.join(root, "t", "left").select("digest", "first_id", "copies", F.coalesce("root", "t").alias("root"))
     of_class = of_text.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))

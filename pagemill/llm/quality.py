@@ -50,13 +50,13 @@ class Parts:
     index: np.ndarray
     bounds: np.ndarray
     chunks: pa.Array
-    full: np.ndarray  # chunks that aren't empty, by text
+    full: np.ndarray  # chunks that show something, by text
 
     @classmethod
     def of(cls, texts: pa.Array) -> Parts:
         index, chunks, bounds = dictionary_of_chunks(texts)
         made = pa.array(chunks, pa.large_string())
-        some = (pc.binary_length(made).to_numpy(zero_copy_only=False) > 0).astype(np.float64)
+        some = pc.match_substring_regex(made, r"[^\s\p{Z}]").to_numpy(zero_copy_only=False).astype(np.float64)
         return cls(index, bounds, made, total_by_text(some[index], bounds))
 
     def again(self, back: int = 1) -> np.ndarray:

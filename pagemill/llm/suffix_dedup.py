@@ -201,8 +201,10 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 def bucket_slices(keys: np.ndarray, buckets: int):
     """(bucket, slice) of sorted keys."""
+    if not len(keys):
+        return
     own = bucket_of(keys, buckets)
-    at = _changes(own) if len(own) else own
+    at = _changes(own)
     for a, b in zip(at, [*at[1:], len(own)], strict=True):
         yield int(own[a]), slice(int(a), int(b))
 
