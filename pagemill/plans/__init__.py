@@ -1,0 +1,6 @@
+"""Queries: each of them a function of (spark, sf_dir)."""
+
+from . import page_queries, scalars
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "page_queries", "scalars"]
