@@ -20,6 +20,7 @@ a block, not one a document.
 from __future__ import annotations
 
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -44,22 +45,36 @@ _U = np.uint64
 
 
 def _squeeze(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed value; integers of 8 bytes as planes of bytes, which compress better."""
-    planes = [np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8).T) if a.dtype.itemsize == 8 else a for a in arrays]
-    batch = pa.record_batch([pa.array([p.tobytes()], pa.large_binary()) for p in planes], names=[a.dtype.str for a in arrays])
-    sink = pa.BufferOutputStream()
-    # names must be unique in no way: the reader goes by position
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
-
-
-def _expand(data: bytes) -> list[np.ndarray]:
-    batch = pa.ipc.open_stream(data).read_next_batch()
-    out = []
-    for name, column in zip(batch.schema.names, batch.columns, strict=True):
-        kind, raw = np.dtype(name), np.frombuffer(column[0].as_buffer(), np.uint8)
-        out.append(np.ascontiguousarray(raw.reshape(8, -1).T).view(kind).reshape(-1) if kind.itemsize == 8 else raw.view(kind))
+    """Arrays as one compressed value; integers of 8 bytes as planes of bytes, which compress better, those that are all zero left out."""
+    parts = []
+    for a in arrays:
+        planes = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T
+        for p in planes:
+            some = len(p) > 0 and bool(p.any())
+            parts.append(struct.pack("<I", len(p) if some else 0))
+            parts.append(p.tobytes() if some else b"")
+    raw = struct.pack("<I", len(arrays[0])) + b"".join(parts)
+    return struct.pack("<I", len(raw)) + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
+
+
+def _expand(data: bytes, *kinds: str) -> list[np.ndarray]:
+    """What _squeeze() has made of arrays of these types; all are as long as the first one, except an array of bytes at the end."""
+    raw = pa.Codec("zstd").decompress(data[4:], decompressed_size=struct.unpack_from("<I", data)[0], asbytes=True)
+    n, at, out = struct.unpack_from("<I", raw)[0], 4, []
+    for kind in map(np.dtype, kinds):
+        planes = []
+        for _ in range(kind.itemsize):
+            size = struct.unpack_from("<I", raw, at)[0]
+            planes.append(np.frombuffer(raw, np.uint8, size, at + 4) if size else None)
+            at += 4 + size
+        if kind.itemsize == 1:
+            out.append((np.zeros(n, np.uint8) if planes[0] is None else planes[0]).view(kind))
+            continue
+        made = np.zeros((n, kind.itemsize), np.uint8)
+        for k, p in enumerate(planes):
+            if p is not None:
+                made[:, k] = p
+        out.append(made.view(kind).reshape(-1))
     return out
 
 
@@ -139,7 +154,7 @@ class Block:
             starts = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (np.diff(good) > 1)])
             first.append(good[starts] + a)
             count.append(np.diff(np.r_[starts, len(good)]))
-            keys.append(least[starts] >> _PLACE)
+            keys.append(_mix(least[starts] >> _PLACE) >> _PLACE)  # least hashes are low ones; mixed again they spread over all buckets
         none = np.zeros(0, np.int64)
         self.first = np.concatenate(first) if first else none
         self.count = np.concatenate(count) if count else none
@@ -346,6 +361,13 @@ def _ramp(sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes, sizes)
 
 
+def _running(flags: np.ndarray) -> np.ndarray:
+    """Number of flags set before each place and at the end."""
+    out = np.zeros(len(flags) + 1, np.int64 if len(flags) >> 31 else np.int32)
+    np.cumsum(flags, out=out[1:])
+    return out
+
+
 # -- the steps as functions of groups -------------------------------------------------------------
 
 
@@ -371,7 +393,7 @@ def answer_keys(table: pa.Table) -> pa.Table:
     bucket = table.column("to")[0].as_py()
     blocks, parts, flags = table.column("of").to_pylist(), [], []
     for data in _blobs(table):
-        gaps, bits = _expand(data)
+        gaps, bits = _expand(data, "u8", "u1")
         parts.append(np.cumsum(gaps, dtype=np.uint64))
         flags.append(np.unpackbits(bits, count=len(gaps)).astype(bool))
     keys, several = np.concatenate(parts), np.concatenate(flags)
@@ -389,7 +411,7 @@ def _shared(block: Block, answers: pa.Table, buckets: int) -> None:
     bits = dict(zip(answers.column("of").to_pylist(), _blobs(answers), strict=True))
     keep = np.zeros(len(keys), bool)
     for k, s in bucket_slices(keys, buckets):
-        keep[s] = np.unpackbits(_expand(bits[k])[0], count=s.stop - s.start).astype(bool)
+        keep[s] = np.unpackbits(_expand(bits[k], "u1")[0], count=s.stop - s.start).astype(bool)
     block.keep(keys[keep])
 
 
@@ -412,7 +434,7 @@ def send_stretches(table: pa.Table, answers: pa.Table, buckets: int) -> pa.Table
 def answer_stretches(table: pa.Table) -> pa.Table:
     bucket = table.column("to")[0].as_py()
     blocks = table.column("of").to_pylist()
-    gaps, lows, spans, sizes, texts = zip(*map(_expand, _blobs(table)), strict=True)
+    gaps, lows, spans, sizes, texts = zip(*(_expand(x, "u8", "i8", "i8", "u1", "u1") for x in _blobs(table)), strict=True)
     lengths = np.array([len(x) for x in gaps])
     keys = np.concatenate([np.cumsum(x, dtype=np.uint64) for x in gaps])
     least = np.concatenate([np.cumsum(x) for x in lows])
@@ -465,7 +487,7 @@ def cut_out(table: pa.Table, answers: pa.Table, buckets: int, id_col: str, with_
     told = answers.filter(pc.equal(kind, 1))
     parts = []
     for bucket, data in zip(told.column("of").to_pylist(), _blobs(told), strict=True):
-        gaps, at, n, first = _expand(data)
+        gaps, at, n, first = _expand(data, "i8", "u1", "u1", "i8")
         parts.append((np.cumsum(gaps) + offset[bucket], at.astype(np.int64), n.astype(np.int64), first))
     if parts:
         entry, at, n, first = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -480,19 +502,19 @@ def cut_out(table: pa.Table, answers: pa.Table, buckets: int, id_col: str, with_
         start = block.first[stretch] + at[run]
         np.add.at(change, start, 1)
         np.add.at(change, start + n[run] + WIDTH - 1, -1)
-    covered = np.cumsum(change[:-1]) > 0
+    covered = np.cumsum(change[:-1], dtype=np.int32) > 0
     a, b = block.bounds[:-1], block.bounds[1:]
-    removed = np.r_[0, np.cumsum(covered)]
+    removed = _running(covered)
     starts = covered.copy()
     starts[1:] &= ~covered[:-1]
     inner = a[(a < b) & (a < len(covered))]
     starts[inner] = covered[inner]
-    spans = np.r_[0, np.cumsum(starts)]
+    spans = _running(starts)
     kept = block.data[~covered].tobytes()
     left = (b - a) - (removed[b] - removed[a])
     ends = np.cumsum(left)
     texts = [kept[y - n : y] for y, n in zip(ends.tolist(), left.tolist(), strict=True)]
-    columns = [block.id_column, pa.array(b - a), pa.array(removed[b] - removed[a]), pa.array(spans[b] - spans[a]), pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
+    columns = [block.id_column, pa.array(b - a), pa.array((removed[b] - removed[a]).astype(np.int64)), pa.array((spans[b] - spans[a]).astype(np.int64)), pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
     return pa.table(columns + [pa.array(texts, pa.binary())] * with_text, names=names)
 
 
@@ -505,7 +527,7 @@ def blocks_of(df: DataFrame, id_col: str, text_col: str, blocks: int) -> DataFra
     def pack(batches):
         options = pa.ipc.IpcWriteOptions(compression="zstd")
         for batch in batches:
-            for part in slices(batch, text_col, 32 << 20):
+            for part in slices(batch, text_col):
                 ids = part.column(id_col)
                 own = (_mix(np.asarray(pc.fill_null(ids, 0)).astype(np.uint64)) % _U(blocks)).astype(np.int64)
                 order = np.argsort(own, kind="stable")
@@ -530,14 +552,14 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id. Rows with the same id are one document for each other: none removes from another. Texts shorter than
     WIDTH lose nothing.
 
-    Documents are shuffled once, packed, and checkpointed by block; then keys, bits, stretches and answers
-    travel. The number of blocks and buckets follows the bytes of text.
+    Documents are shuffled by block, packed, once for each of the two steps; besides them keys, bits, stretches and
+    answers travel. The number of blocks and buckets follows the bytes of text.
     """
     spark = attach(df.sparkSession)
     total = df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     blocks = max(2 * spark.sparkContext.defaultParallelism, -(-total // block_bytes))
     buckets = blocks
-    parted = blocks_of(df, id_col, text_col, blocks).repartition(blocks, "block").checkpoint()
+    parted = blocks_of(df, id_col, text_col, blocks)
     keys = parted.groupBy("block").applyInArrow(lambda t: send_keys(t, buckets), SENT)
     bits = keys.groupBy("to").applyInArrow(answer_keys, SENT).withColumnRenamed("to", "block").checkpoint()
     stretches = parted.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(lambda t, a: send_stretches(t, a, buckets), SENT)
