@@ -93,7 +93,7 @@ def cmap_range_lookup(spark, sf_dir):
 
 
 @query(
-    """SELECT l_linenumber::BIGINT AS image, bx AS block_x, bz AS block_y, (sum(v) + count(*) // 2) // count(*) AS mean FROM (SELECT l_linenumber, (l_partkey % 64) // 4 AS bx, (l_suppkey % 64) // 4 AS bz, CAST(l_quantity * 5 AS BIGINT) AS v FROM lineitem) GROUP BY 1, 2, 3"""
+    """SELECT l_linenumber::BIGINT AS image, bx AS block_x, bz AS block_y, CAST((sum(v) + count(*) // 2) // count(*) AS BIGINT) AS mean FROM (SELECT l_linenumber, (l_partkey % 64) // 4 AS bx, (l_suppkey % 64) // 4 AS bz, CAST(l_quantity * 5 AS BIGINT) AS v FROM lineitem) GROUP BY 1, 2, 3"""
 )
 def image_block_average(spark, sf_dir):
     pixels = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("bigint").alias("image"), (F.col("l_partkey") % 64).alias("px"), (F.col("l_suppkey") % 64).alias("py"), (F.col("l_quantity") * 5).cast("bigint").alias("v"))

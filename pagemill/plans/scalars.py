@@ -15,9 +15,9 @@ def _r(c, digits: int = 4):
 
 @query(
     """SELECT l_orderkey, l_partkey, l_linenumber, l_quantity, l_extendedprice, l_suppkey,
-  CASE WHEN s BETWEEN -2147483648 AND 2147483647 THEN s END AS sum_int,
+  CASE WHEN s BETWEEN -2147483648 AND 2147483647 THEN s END::DOUBLE AS sum_int,
   CASE WHEN s NOT BETWEEN -2147483648 AND 2147483647 THEN round(CAST(CAST(s AS FLOAT) AS DOUBLE), 0) END AS sum_real,
-  CASE WHEN d BETWEEN -2147483648 AND 2147483647 THEN d END AS diff_int
+  CASE WHEN d BETWEEN -2147483648 AND 2147483647 THEN d END::DOUBLE AS diff_int
 FROM (SELECT *, CAST(l_partkey AS BIGINT) * 1000000 % 2147483648 + CAST(l_orderkey AS BIGINT) * 100000 % 2147483648 AS s,
   -(CAST(l_partkey AS BIGINT) * 1000000 % 2147483648) - (CAST(l_orderkey AS BIGINT) * 100000 % 2147483648) AS d FROM lineitem)"""
 )
@@ -27,28 +27,28 @@ def arith_add_promote(spark, sf_dir):
     x, y = numbers.integer(a), numbers.integer(b)
     total, less = numbers.add(x, y), numbers.sub(numbers.neg(x), y)
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_suppkey", total.alias("t"), less.alias("u"))
-    return rows.select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_suppkey", F.col("t.i").cast("bigint").alias("sum_int"), _r(F.col("t.r"), 0).alias("sum_real"), F.col("u.i").cast("bigint").alias("diff_int"))
+    return rows.select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_suppkey", F.col("t.i").cast("double").alias("sum_int"), _r(F.col("t.r"), 0).alias("sum_real"), F.col("u.i").cast("double").alias("diff_int"))
 
 
 @query(
-    """SELECT o_orderkey, CASE WHEN p BETWEEN -2147483648 AND 2147483647 THEN p END AS product_int,
+    """SELECT o_orderkey, CASE WHEN p BETWEEN -2147483648 AND 2147483647 THEN p END::DOUBLE AS product_int,
   CASE WHEN p NOT BETWEEN -2147483648 AND 2147483647 THEN CAST(CAST(p AS FLOAT) AS DOUBLE) END AS product_real
 FROM (SELECT o_orderkey, CAST(o_orderkey AS BIGINT) * (CAST(o_custkey AS BIGINT) * 700 + 1) AS p FROM orders)"""
 )
 def arith_mul_promote(spark, sf_dir):
     p = numbers.mul(numbers.integer(F.col("o_orderkey")), numbers.integer(F.col("o_custkey") * 700 + 1))
-    return table(spark, sf_dir, "orders").select("o_orderkey", p.alias("p")).select("o_orderkey", F.col("p.i").cast("bigint").alias("product_int"), F.col("p.r").cast("double").alias("product_real"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", p.alias("p")).select("o_orderkey", F.col("p.i").cast("double").alias("product_int"), F.col("p.r").cast("double").alias("product_real"))
 
 
 @query(
-    """SELECT p_partkey, CASE WHEN y <> 0 THEN x // y END AS quotient, CASE WHEN y <> 0 THEN x % y END AS remainder,
+    """SELECT p_partkey, CASE WHEN y <> 0 THEN x // y END::DOUBLE AS quotient, CASE WHEN y <> 0 THEN x % y END::DOUBLE AS remainder,
   CASE WHEN y = 0 THEN 'undefinedresult' END AS error
 FROM (SELECT p_partkey, CAST(p_partkey AS BIGINT) - 1000 AS x, CAST(p_size AS BIGINT) % 7 - 3 AS y FROM part)"""
 )
 def arith_idiv_mod(spark, sf_dir):
     x, y = numbers.integer(F.col("p_partkey") - 1000), numbers.integer(F.col("p_size") % 7 - 3)
     rows = table(spark, sf_dir, "part").select("p_partkey", numbers.idiv(x, y).alias("q"), numbers.mod(x, y).alias("m"))
-    return rows.select("p_partkey", F.col("q.i").cast("bigint").alias("quotient"), F.col("m.i").cast("bigint").alias("remainder"), F.col("q.error").alias("error"))
+    return rows.select("p_partkey", F.col("q.i").cast("double").alias("quotient"), F.col("m.i").cast("double").alias("remainder"), F.col("q.error").alias("error"))
 
 
 @query(
@@ -193,23 +193,23 @@ def stack_roll(spark, sf_dir):
 
 
 @query(
-    f"""SELECT l_orderkey, s[n - 1] AS under, array_to_string(s[1:n-1], ' ') AS popped, array_to_string(list_concat(s, s[n:n]), ' ') AS dupped,
+    f"""SELECT l_orderkey, s[n - 1]::DOUBLE AS under, array_to_string(s[1:n-1], ' ') AS popped, array_to_string(list_concat(s, s[n:n]), ' ') AS dupped,
   array_to_string(CASE WHEN n < 2 THEN s ELSE list_concat(s[1:n-2], [s[n], s[n-1]]) END, ' ') AS exchanged,
   array_to_string(list_concat(s, s[greatest(1, n-1):n]), ' ') AS copied, n AS depth FROM (SELECT *, len(s) AS n FROM ({_STACKS}))"""
 )
 def stack_index(spark, sf_dir):
     s = F.col("s")
-    return _stacks(spark, sf_dir).select("l_orderkey", lists.index(s, 1).alias("under"), _text(lists.pop(s)).alias("popped"), _text(lists.dup(s)).alias("dupped"), _text(lists.exch(s)).alias("exchanged"), _text(lists.copy(s, 2)).alias("copied"), F.size(s).cast("bigint").alias("depth"))
+    return _stacks(spark, sf_dir).select("l_orderkey", lists.index(s, 1).cast("double").alias("under"), _text(lists.pop(s)).alias("popped"), _text(lists.dup(s)).alias("dupped"), _text(lists.exch(s)).alias("exchanged"), _text(lists.copy(s, 2)).alias("copied"), F.size(s).cast("bigint").alias("depth"))
 
 
 @query(
-    f"""SELECT l_orderkey, CASE WHEN list_contains(s, 7) THEN list_position(list_reverse(s), 7) - 1 END::BIGINT AS above,
+    f"""SELECT l_orderkey, CASE WHEN list_contains(s, 7) THEN list_position(list_reverse(s), 7) - 1 END::DOUBLE AS above,
   CASE WHEN list_contains(s, 7) THEN array_to_string(s[1:n - list_position(list_reverse(s), 7)], ' ') END AS cleared FROM (SELECT *, len(s) AS n FROM ({_STACKS}))"""
 )
 def stack_marks(spark, sf_dir):
     mark, s = F.lit(7).cast("bigint"), F.col("s")
     n = lists.count_to_mark(s, mark)
-    return _stacks(spark, sf_dir).select("l_orderkey", n.cast("bigint").alias("above"), F.when(n.isNotNull(), _text(lists.clear_to_mark(s, mark))).alias("cleared"))
+    return _stacks(spark, sf_dir).select("l_orderkey", n.cast("double").alias("above"), F.when(n.isNotNull(), _text(lists.clear_to_mark(s, mark))).alias("cleared"))
 
 
 @query(f"SELECT l_orderkey, count(*) AS n, CAST(sum(x * x) AS BIGINT) AS squares, max(x) AS most FROM (SELECT l_orderkey, unnest(s) AS x FROM ({_STACKS})) GROUP BY 1")
@@ -240,7 +240,7 @@ def dict_def_last_wins(spark, sf_dir):
 
 
 @query(
-    """SELECT u.user_id, k.key, coalesce(own.value, wide.value) AS value, CASE WHEN own.value IS NOT NULL THEN 1 WHEN wide.value IS NOT NULL THEN 0 END::BIGINT AS depth
+    """SELECT u.user_id, k.key, coalesce(own.value, wide.value) AS value, CASE WHEN own.value IS NOT NULL THEN 1 WHEN wide.value IS NOT NULL THEN 0 END::DOUBLE AS depth
 FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN (SELECT DISTINCT event_type AS key FROM events) k
 LEFT JOIN (SELECT user_id, event_type, max(value) AS value FROM events WHERE value > 50 GROUP BY 1, 2) own ON own.user_id = u.user_id AND own.event_type = k.key
 LEFT JOIN (SELECT event_type, max(value) AS value FROM events WHERE event_type <> 'error' GROUP BY 1) wide ON wide.event_type = k.key"""
@@ -250,8 +250,8 @@ def dict_where(spark, sf_dir):
     from ..operators.scopes import looked_up
 
     events = table(spark, sf_dir, "events")
-    own = events.where("value > 50").groupBy("user_id", F.col("event_type").alias("key")).agg(F.max("value").alias("value")).withColumn("depth", F.lit(1).cast("bigint"))
-    wide = events.where("event_type <> 'error'").groupBy(F.col("event_type").alias("key")).agg(F.max("value").alias("value")).withColumn("depth", F.lit(0).cast("bigint"))
+    own = events.where("value > 50").groupBy("user_id", F.col("event_type").alias("key")).agg(F.max("value").alias("value")).withColumn("depth", F.lit(1.0))
+    wide = events.where("event_type <> 'error'").groupBy(F.col("event_type").alias("key")).agg(F.max("value").alias("value")).withColumn("depth", F.lit(0.0))
     keys = events.select(F.col("event_type").alias("key")).distinct().agg(F.collect_set("key").alias("keys"))
     users = events.select("user_id").distinct()
     asked = users.join(F.broadcast(keys)).select("user_id", F.explode("keys").alias("key"))
