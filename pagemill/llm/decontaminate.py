@@ -37,19 +37,22 @@ def shingles(of: Column) -> Column:
 
 def simhash(hashes: Column) -> Column:
     """64-bit fingerprint: a bit is set if most shingles, each as often as it occurs, have it set."""
-    vote = lambda bit: F.aggregate(hashes, F.lit(0), lambda n, h: n + F.when(F.shiftrightunsigned(h, bit).bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1))
-    bits = [F.when(vote(b) > 0, F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for b in range(64)]
-    out = bits[0]
-    for b in bits[1:]:
-        out = out.bitwiseOR(b)
-    return out
+    places = F.sequence(F.lit(0), F.lit(63))
+    sign = lambda h, bit: F.when(F.call_function("bit_get", h, bit) == 1, 1).otherwise(-1)
+    votes = F.aggregate(hashes, F.array_repeat(F.lit(0), 64), lambda acc, h: F.zip_with(acc, places, lambda n, bit: n + sign(h, bit)))
+    set_bits = F.transform(votes, lambda n, bit: F.when(n > 0, F.call_function("shiftleft", F.lit(1).cast("long"), bit)).otherwise(F.lit(0).cast("long")))
+    return F.aggregate(set_bits, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x))
 
 
 def blocks(fingerprint: Column, radius: int = RADIUS) -> Column:
-    """array<struct<block, value>>: RADIUS + 1 stretches of the fingerprint's bits."""
-    edges = [64 * i // (radius + 1) for i in range(radius + 2)]
-    cut = [F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("value")) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
-    return F.array(*cut)
+    """array<struct<block, value>>: RADIUS + 1 stretches of the fingerprint's bits, together all of them."""
+
+    def one(i: Column) -> Column:
+        first, stop = F.call_function("div", i * 64, F.lit(radius + 1)), F.call_function("div", (i + 1) * 64, F.lit(radius + 1))
+        mask = F.call_function("shiftleft", F.lit(1).cast("long"), (stop - first).cast("int")) - 1
+        return F.struct(i.alias("block"), F.call_function("shiftrightunsigned", fingerprint, first.cast("int")).bitwiseAND(mask).alias("value"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(radius)), one)
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -106,12 +109,13 @@ def matches(
     )
     windows = windows.select("id", "item", "word_start", F.size("w").alias("n_words"), shingles(F.col("w")).alias("window_bag"))
     windows = windows.select("*", simhash(F.col("window_bag")).alias("window_print"))
-    keyed = windows.select("*", F.explode(blocks(F.col("window_print"), radius)).alias("key"))
-    sides = bench.select("item", "items", "bag", "print", F.explode(blocks(F.col("print"), radius)).alias("key"))
+    windows = windows.select("*", blocks(F.col("window_print"), radius).alias("window_blocks"))
+    keyed = windows.select("*", F.explode("window_blocks").alias("key"))
+    sides = bench.select("item", "items", "bag", "print", blocks(F.col("print"), radius).alias("blocks"))
+    sides = sides.select("*", F.explode("blocks").alias("key"))
     near = keyed.join(sent(sides), ["item", "key"]).withColumn("distance", F.bit_count(F.col("print").bitwiseXOR(F.col("window_print"))))
     # a pair meets in every block in which it agrees; it is verified in the first of them
-    first = F.array_min(F.transform(F.filter(F.arrays_zip(blocks(F.col("print"), radius).alias("a"), blocks(F.col("window_print"), radius).alias("b")), lambda z: z["a"] == z["b"]), lambda z: z["a"]["block"]))
-    near = near.where(F.col("distance") <= radius).where(F.col("key.block") == first)
+    near = near.where(F.col("distance") <= radius).where(F.col("key.block") == F.array_min(F.array_intersect("blocks", "window_blocks"))["block"])
     verified = near.select("id", "items", "word_start", "n_words", "distance", similarity(F.col("window_bag"), F.col("bag")).alias("similarity")).where(F.col("similarity") >= least)
     best = verified.select("id", F.explode("items").alias("item"), "word_start", "n_words", "distance", "similarity").groupBy("id", "item").agg(
         F.max_by(F.struct("word_start", "n_words", "distance", "similarity"), F.struct("similarity", -F.col("word_start"))).alias("best")
