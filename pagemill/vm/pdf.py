@@ -5,8 +5,9 @@ from __future__ import annotations
 import zlib
 
 from . import geometry as g
+from . import images
 from .dump import listed, nums
-from .fonts import rule_width, standard_encoding
+from .fonts import glyph_names, rule_width, standard_encoding
 from .graphics import Page
 from .objects import canonical, escaped
 
@@ -191,9 +192,22 @@ def font_object(doc: Document, f: dict, resources) -> int:
         return doc.put(f"<< /Type /Font /Subtype /Type0 /BaseFont {name_text(f['name'])} /Encoding /Identity-{'V' if f['wmode'] else 'H'} /DescendantFonts [{inner} 0 R] >>")
     diff = f.get("diff") or f.get("encoding") or {}
     encoding = f" /Encoding << /Type /Encoding /Differences [{' '.join(f'{c} {name_text(n)}' for c, n in sorted(diff.items()))}] >>" if diff else ""
+    if diff:
+        encoding += f" /ToUnicode {doc.stream('', to_unicode(diff))} 0 R"
     return doc.put(f"<< /Type /Font /Subtype /Type1 /BaseFont {name_text(f['name'])}{encoding} >>")
 
 
+def to_unicode(names: dict[int, str]) -> bytes:
+    """A CMap from codes to the characters of their glyphs, where a glyph's name says which."""
+    known = glyph_names()
+    pairs = [(c, known[n]) for c, n in sorted(names.items()) if n in known]
+    out = ["/CIDInit /ProcSet findresource begin", "12 dict begin", "begincmap", "/CMapName /Unicode def", "/CMapType 2 def", "1 begincodespacerange", "<00> <ff>", "endcodespacerange"]
+    for a in range(0, len(pairs), 100):
+        part = pairs[a : a + 100]
+        out += [f"{len(part)} beginbfchar", *[f"<{c:02x}> <{t.encode('utf-16-be').hex()}>" for c, t in part], "endbfchar"]
+    return "\n".join([*out, "endcmap", "end", "end", ""]).encode()
+
+
 def widths_of(f: dict) -> dict[int, float]:
     if f["kind"] == "type3":
         return {c: f["glyphs"][n]["width"][0] for c, n in f["used"].items()}
@@ -307,7 +321,10 @@ def write(pages: list[Page], events: list[tuple], compress: bool = True) -> byte
     numbers = [doc.reserve() for _ in pages]
     marks = [(kind, entries, page) for tag, page, kind, entries in (e for e in events if len(e) == 4) if tag == "mark"]
     defaults = {k: v for kind, e, _ in marks if kind == "PAGES" for k, v in e.items()}
+    policy = {e[1]: e[2] for e in events if e[0] == "param"}
     for i, (page, number) in enumerate(zip(pages, numbers, strict=True)):
+        for k, least in images.placements(page).items():
+            page.resources.items["img"][k] = images.reduced(page.resources.items["img"][k], least, policy)
         refs, contents = resource_text(doc, page.resources, [page.content.ops])
         body = doc.stream("", contents[0])
         entries = f"/Type /Page /Parent {tree} 0 R /MediaBox {listed(page.media)} /Resources {refs} /Contents {body} 0 R"
