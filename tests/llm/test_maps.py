@@ -103,6 +103,7 @@ def test_pages(spark, small):
         ("<form><p>Name</p></form><main><h1>T</h1><p>x &lt;b&gt;</p></main><footer>f</footer>", "T\nx <b>"),
         ("<p>un<b closed", "un<b closed"),
         ("<aside>side</aside><article><p>one</p><div class='newsletter-signup'>mail</div><p>two</p></article>", "one\ntwo"),
+        ("<body><div class=top><a href=x>Start</a></div><div class=post>" + "<p>Many words stand in this paragraph here.</p>" * 9 + "<div class=ad>Buy</div><p>The end.</p></div><div class=box>Tiny</div></body>", "\n".join(["Many words stand in this paragraph here."] * 9 + ["The end."])),
         ("<ul><li><a href=a>Home page of us</a></li><li><a href=b>About the company</a></li></ul><p>" + "The story goes on. " * 9 + "</p>", ("The story goes on. " * 9).strip()),
     ],
 )
