@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -18,6 +19,10 @@ from pyspark.sql.types import StructType
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
+#: Rows of an Arrow batch: Spark's own number and the one taken here. Texts are long, and a batch is held by the JVM and the worker alike.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2500")}
+
+
 def attach(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package, and make sure that a checkpoint folder is set.
 
@@ -28,6 +33,9 @@ def attach(spark: SparkSession) -> SparkSession:
     paths = context.environment.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
         context.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
+    for key, (usual, value) in BATCHES.items():
+        if spark.conf.get(key, None) in (None, usual):
+            spark.conf.set(key, value)
     if not context.getCheckpointDir():
         shared = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
@@ -48,6 +56,12 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of shuffle files and checkpoints that nothing refers to any more, which Spark otherwise does by the half hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the checkpoint folder, read again; cuts the lineage."""
     spark = attach(df.sparkSession)

@@ -27,7 +27,7 @@ TRAIN_DOCS, MAX_LANGUAGES = 1500, 500
 UNKNOWN = "und"
 #: A rejected text's cross-entropy is above the language's own held-out maximum by this many nats a character.
 MARGIN = 1.5
-KEPT_WORDS = 200_000
+KEPT_WORDS = 50_000
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:

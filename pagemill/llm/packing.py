@@ -26,7 +26,7 @@ from .common import attach, dictionary_of_chunks, id_and_text, ragged_take, slic
 
 SMALL = 64
 #: Words whose ids a worker keeps between batches; bounds its memory only.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 80_000
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NAMES = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
@@ -230,7 +230,7 @@ def pack(
             return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=[id_col, *NAMES])
 
         for batch in batches:
-            for part in slices(batch, text_col, 12 << 20):
+            for part in slices(batch, text_col):
                 ids, bounds = own.encode(part.column(text_col), end_id)
                 rows = []
                 for doc, a, b in zip(part.column(id_col).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):

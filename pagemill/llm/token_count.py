@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from .common import attach, dictionary_of_chunks, id_and_text, map_batches, slices, total_by_text
 
 #: Chunks whose counts a worker keeps between batches; bounds its memory only.
-KEPT_CHUNKS = 200_000
+KEPT_CHUNKS = 100_000
 _NONE = np.int64(1 << 60)
 _SHIFT = 20
 
