@@ -9,10 +9,11 @@ an empty coordinate throws on to twice the rank. Two texts agree in a coordinate
 Jaccard similarity.
 
 Bands of ROWS coordinates are join keys. Texts are linked if their weighted or their plain Jaccard similarity,
-computed exactly, is SIMILARITY or more; a class is a connected component of links. Members of a bucket
-are compared with pivots, the texts with the most company first: one pivot in the first rounds (over few bands, then
-over all), eight times as many in each round after them, until a bucket lies in one class or every two of its members that are in different classes
-have been compared. So no bucket is capped, and the copies of one text cost one comparison each, not one a pair.
+computed exactly, is SIMILARITY or more; a class is a connected component of links. Large groups are linked by few
+comparisons first: each member of a bucket with the one that has the most company, over two bands; then twice each
+member with the one of another class whose sketch is nearest, over three bands. Last, over all bands, every two members
+of a bucket that are in different classes still are compared, unless their sketches say that they can't be similar. So
+no bucket is capped, and the copies of a text cost about one comparison each, not one a pair.
 """
 
 from __future__ import annotations
@@ -26,16 +27,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, id_and_text, map_batches, slices
+from .common import attach, id_and_text, map_batches, release, slices
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: At similarity 0.8 a pair shares no band with probability 3e-6.
-BANDS, ROWS = 32, 5
+#: At similarity 0.8 a pair shares no band with probability 1e-5; at 0.35 it shares one with probability 0.03.
+BANDS, ROWS = 48, 7
 #: Darts to throw for K coordinates: K ln K + SPARE K leave one empty in 2 % of texts, which throw again.
 SPARE = 4
-#: Times the pivots of a bucket grow by from round to round.
-GROWTH = 8
 _U = np.uint64
+#: Four bits of each coordinate, and of EXTRA ones that are in no band, make a sketch. Two texts of similarity 0.8 whose
+#: sketches tell of less than SKETCHED are 4.5 standard deviations off (3e-6); such a pair isn't compared exactly. The sketch is of the weighted similarity;
+#: where shingles occur more than once the bound is as much lower as that can be below the plain one.
+EXTRA, SKETCHED, LANES = 112, 0.71, 0x1111111111111111
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -142,6 +145,24 @@ def band_keys(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> n
     return out.view(np.int64)
 
 
+def sketches(signatures: np.ndarray) -> np.ndarray:
+    """(texts, words) of four bits a coordinate, 16 coordinates a word."""
+    texts, k = signatures.shape
+    bits = np.zeros((texts, -(-k // 16) * 16), np.uint64)
+    bits[:, :k] = _mix(signatures.view(np.uint64)) >> _U(60)
+    return np.bitwise_or.reduce(bits.reshape(texts, -1, 16) << (np.arange(16, dtype=np.uint64) * _U(4)), axis=2).view(np.int64)
+
+
+def differing(a: list, b: list):
+    """Coordinates in which two sketches differ, as a Column."""
+    out = F.lit(0)
+    fold = lambda z, n: z.bitwiseOR(F.call_function("shiftrightunsigned", z, F.lit(n)))
+    for x, y in zip(a, b, strict=True):
+        z = F.col(x).bitwiseXOR(F.col(y))
+        out = out + F.bit_count(fold(fold(z, 1), 2).bitwiseAND(F.lit(LANES)))
+    return out
+
+
 def similarities(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
     """(weighted, plain) Jaccard similarity of two bags."""
     if not len(a) or not len(b):
@@ -153,39 +174,51 @@ def similarities(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
     return shared / (len(a) + len(b) - shared), len(i) / (len(x) + len(y) - len(i))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of an undirected graph of longs (a, b): each node's least node, by alternating large and small stars."""
-    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
+def few(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
+    """``df`` of about so many rows in no more partitions than these rows are worth; small tables make few shuffle files."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
+def components(edges: DataFrame, rows: int) -> DataFrame:
+    """(node, root) of an undirected graph of longs (a, b) with at most so many edges: each node's least node.
+
+    Alternating large and small stars: a node's greater neighbours move to its least neighbour, then its
+    smaller ones do, until nothing moves.
+    """
+    rows *= 2
+    edges = few(few(edges, rows).where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), rows)
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = few(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), rows)
+        large = few(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), rows)
+        least = few(large.groupBy("u").agg(F.min("v").alias("m")), rows)
         small = large.join(least, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = small.distinct().checkpoint()
+        edges = few(few(small, rows).distinct(), rows).checkpoint()
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(few(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct(), rows))
         state = now
 
 
 def signed(df: DataFrame, id_col: str, text_col: str, bands: int, rows: int) -> DataFrame:
-    """(id, digest of the text, numbers of shingles and of distinct ones, band keys)."""
+    """(id, digest of the text, numbers of shingles and of distinct ones, band keys, sketch)."""
 
     def run(batch: pa.RecordBatch):
-        for part in slices(batch, text_col):
+        for part in slices(batch, text_col, 4 << 20):
             texts = part.column(text_col)
             bags, sizes = shingle_bags(texts)
             elements, weights, owner = weighted(bags, sizes)
-            keys = band_keys(dart_signatures(elements, weights, owner, len(sizes), bands * rows), bands, rows)
+            signatures = dart_signatures(elements, weights, owner, len(sizes), bands * rows + EXTRA)
+            keys, words = band_keys(np.ascontiguousarray(signatures[:, : bands * rows]), bands, rows), sketches(signatures)
             kinds = np.bincount(owner, minlength=len(sizes))
             digests = [hashlib.md5(t).digest() for t in texts.cast(pa.binary()).to_pylist()]
             listed = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
-            yield pa.record_batch([part.column(id_col), pa.array(digests, pa.binary()), pa.array(sizes), pa.array(kinds), listed], names=[id_col, "digest", "n", "kinds", "bands"])
+            packed = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * words.shape[1]), pa.array(words.ravel()))
+            yield pa.record_batch([part.column(id_col), pa.array(digests, pa.binary()), pa.array(sizes), pa.array(kinds), listed, packed], names=[id_col, "digest", "n", "kinds", "bands", "sketch"])
 
-    return map_batches(id_and_text(df, id_col, text_col), run, f"`{id_col}` long, digest binary, n long, kinds long, bands array<long>")
+    return map_batches(id_and_text(df, id_col, text_col), run, f"`{id_col}` long, digest binary, n long, kinds long, bands array<long>, sketch array<long>")
 
 
 def _bags(texts: DataFrame) -> DataFrame:
@@ -211,16 +244,6 @@ def _compared(pairs: DataFrame) -> DataFrame:
     return map_batches(pairs.select("a", "b", "x", "y"), run, "a long, b long, similarity double")
 
 
-def _rounds(bands: int):
-    """(bands looked at, pivots of a bucket): most links of a large group come from few bands, and those it need not look for again."""
-    yield min(2, bands), 1
-    yield min(8, bands), 1
-    pivots = 1
-    while True:
-        yield bands, pivots
-        pivots *= GROWTH
-
-
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, class_id, class_size, keep) of each row: class_id is the least id of the row's class.
 
@@ -233,7 +256,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     """
     attach(df.sparkSession)
     docs = id_and_text(df, id_col, text_col).withColumnsRenamed({id_col: "id", text_col: "text"})
-    texts = signed(docs, "id", "text", bands, rows).groupBy("digest").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("kinds").alias("kinds"), F.first("bands").alias("bands"))
+    texts = signed(docs, "id", "text", bands, rows).groupBy("digest").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("kinds").alias("kinds"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     texts = texts.withColumn("t", F.monotonically_increasing_id()).checkpoint()
 
     keyed = texts.where("n > 0").select("t", F.col("n").cast("int").alias("n"), F.col("kinds").cast("int").alias("kinds"), F.posexplode("bands").alias("band", "key"))
@@ -245,39 +268,55 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     found = with_id.where("id is not null").join(wanted.where("id is not null"), ["digest", "id"]).select("t", "text")
     no_id = with_id.where("id is null").join(wanted.where("id is null").drop("id"), "digest").select("t", "text")
     bags = _bags(found.unionByName(no_id)).dropDuplicates(["t"]).checkpoint()
-
-    root = company.select("t", F.col("t").alias("root"), "company")
+    release(df.sparkSession)
+
+    nodes, band_rows = company.count(), rows
+    mine, theirs = ([f"{x}{i}" for i in range(-(-(bands * rows + EXTRA) // 16))] for x in ("s", "q"))
+    told = texts.select("t", *[F.get("sketch", F.lit(i)).alias(x) for i, x in enumerate(mine)])
+    told = company.join(texts.select("t", *[F.get("sketch", F.lit(i)).alias(x) for i, x in enumerate(mine)]), "t")
+    told = few(told, nodes).checkpoint()
+    root = few(company.select("t", F.col("t").alias("root")), nodes)
     tested = None
-    for seen_bands, pivots in _rounds(bands):
-        now = members.where(F.col("band") < seen_bands).join(root, "t")
+    for first, stop, how in ((0, 2, "pivot"), (2, 5, "nearest"), (5, 8, "nearest"), (0, bands, "all")):
+        now = members.where((F.col("band") >= first) & (F.col("band") < stop)).select("key", "t", "n", "kinds").join(root, "t")
         split = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-        now = now.join(split, "key").checkpoint()
-        largest = now.agg(F.max("size")).first()[0]
-        if largest is None:
-            if seen_bands < bands:
-                continue
-            break
-        salt = F.when(F.col("size") <= pivots, F.col("t")).otherwise(F.pmod(F.xxhash64("t"), F.lit(pivots)))
-        chosen = now.groupBy("key", salt.alias("salt")).agg(F.max(F.struct("company", (-F.col("t")).alias("least"), "n", "kinds", "root")).alias("p"))
-        chosen = chosen.select("key", (-F.col("p.least")).alias("pt"), F.col("p.n").alias("pn"), F.col("p.kinds").alias("pkinds"), F.col("p.root").alias("proot"))
-        pairs = now.join(chosen, "key").where("root <> proot")
+        now = now.join(split, "key").join(told, "t").checkpoint()
+        rows = now.count()
+        if not rows:
+            continue
         # sizes that differ more can't have the similarity, neither as bags nor as sets
         sized = lambda x, y: F.least(x, y) >= F.lit(least) * F.greatest(x, y)
-        pairs = pairs.where(sized("n", "pn") | sized("kinds", "pkinds"))
+        other = now.select("key", F.col("t").alias("pt"), F.col("n").alias("pn"), F.col("kinds").alias("pkinds"), F.col("root").alias("proot"), *[F.col(x).alias(y) for x, y in zip(mine, theirs, strict=True)])
+        coordinates = 15 / 16 * (bands * band_rows + EXTRA)
+        apart = differing(mine, theirs)
+        if how == "pivot":  # every member with the one that has the most company
+            chosen = now.groupBy("key").agg(F.max(F.struct("company", (-F.col("t")).alias("least"), "n", "kinds", "root")).alias("p"))
+            chosen = few(chosen, rows).select("key", (-F.col("p.least")).alias("pt"), F.col("p.n").alias("pn"), F.col("p.kinds").alias("pkinds"), F.col("p.root").alias("proot"))
+            pairs = now.join(chosen, "key").where("root <> proot").where(sized("n", "pn") | sized("kinds", "pkinds"))
+        elif how == "nearest":  # every member with the one of another class that looks most like it
+            near = now.join(other, "key").where("root <> proot").where(apart <= (1 - 0.98 * least) * coordinates)
+            near = near.groupBy("t").agg(F.min(F.struct(apart.alias("apart"), "pt")).alias("best"))
+            pairs = few(near, rows).select("t", F.col("best.pt").alias("pt"))
+        else:  # all that are in different classes still and may have the similarity
+            twice = (F.col("n") - F.col("kinds") + F.col("pn") - F.col("pkinds")) / F.greatest("kinds", "pkinds")
+            bound = F.lit(SKETCHED * least / SIMILARITY) / (1 + twice)
+            pairs = now.join(other, "key").where("root < proot").where(sized("n", "pn") | sized("kinds", "pkinds")).where(apart <= (1 - bound) * coordinates)
         pairs = pairs.select(F.least("t", "pt").alias("a"), F.greatest("t", "pt").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         left, right = bags.select(F.col("t").alias("a"), F.col("bag").alias("x")), bags.select(F.col("t").alias("b"), F.col("bag").alias("y"))
         done = _compared(pairs.join(left, "a").join(right, "b")).checkpoint()
         links = done.where(F.col("similarity") >= least)
-        if not links.isEmpty():
+        n_pairs, n_links = done.agg(F.count(F.lit(1)), F.count_if(F.col("similarity") >= least)).first()
+        links, done = few(links, n_links), few(done, n_pairs)
+        if n_links:
             names = root.select("t", "root")
             ends = links.join(names.withColumnsRenamed({"t": "a", "root": "ra"}), "a").join(names.withColumnsRenamed({"t": "b", "root": "rb"}), "b")
-            merged = components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-            root = root.join(merged.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("t", F.coalesce("to", "root").alias("root"), "company").checkpoint()
+            merged = components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")), n_links)
+            root = root.join(merged.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("t", F.coalesce("to", "root").alias("root"))
+            root = few(root, nodes).checkpoint()
         tested = done.select("a", "b") if tested is None else tested.unionByName(done.select("a", "b"))
-        if pivots >= largest and seen_bands == bands:
-            break
+        release(df.sparkSession)
 
     of_text = texts.join(root, "t", "left").select("digest", "first_id", "copies", F.coalesce("root", "t").alias("root"))
     of_class = of_text.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
