@@ -111,6 +111,21 @@ def test_main_text(page, text):
     assert html_extract.main_text(page) == text
 
 
+BODY = ["The council met on Monday and spoke about the new bridge over the river.", "It will be built next year, the mayor said after the meeting."] * 3
+
+
+@pytest.mark.parametrize("hint", ["<article><h2><a href=x>Another story</a></h2><p>A short teaser.</p></article>", "<main><h1>The bridge</h1></main>"])
+def test_body_outside_a_teaser_article(hint):
+    page = f"<body>{hint}<div class=text>" + "".join(f"<p>{t}</p>" for t in BODY) + "</div></body>"
+    assert [t for t in html_extract.main_text(page).split("\n") if t in BODY] == BODY
+
+
+def test_links_in_main_are_no_text():
+    links = "".join(f"<li><a href=x>Some other page {i}</a></li>" for i in range(8))
+    page = "<main><ul>" + links + "</ul>" + "".join(f"<p>{t}</p>" for t in BODY) + "<ul>" + links + "</ul></main>"
+    assert html_extract.main_text(page) == "\n".join(BODY)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(st.sampled_from(list("<>/!-p diva='\"&;")), max_size=60))
 def test_no_markup_breaks_it(page):
