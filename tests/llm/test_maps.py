@@ -120,6 +120,13 @@ def test_body_outside_a_teaser_article(hint):
     assert [t for t in html_extract.main_text(page).split("\n") if t in BODY] == BODY
 
 
+def test_small_parts_of_an_article_stay():
+    long, short = "Many words stand in this paragraph here. " * 15, "So ends the story of the bridge over the river, and no more was said of it to this day."
+    for parted in ("", "<div class=ad>Buy</div>"):
+        page = f"<body><div><div><p>{short}</p></div>{parted}<section><p>{long}</p></section>{parted}<section><h2>End</h2><p>{short}</p></section></div><div class=box>Tiny</div></body>"
+        assert html_extract.main_text(page) == "\n".join([short, long.strip(), "End", short])
+
+
 def test_links_in_main_are_no_text():
     links = "".join(f"<li><a href=x>Some other page {i}</a></li>" for i in range(8))
     page = "<main><ul>" + links + "</ul>" + "".join(f"<p>{t}</p>" for t in BODY) + "<ul>" + links + "</ul></main>"
