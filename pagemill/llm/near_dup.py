@@ -245,11 +245,12 @@ def _compared(pairs: DataFrame) -> DataFrame:
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, class_id, class_size, keep) of each row: class_id is the least id of the row's class.
+    """(id, class_id, class_size, keep, class_key, digest) of each row: class_id is the least id of the row's class.
 
     ``keep`` is true for the row with that id. Exact copies are in one class. A null text is empty; texts without
     words are alike only if they are equal. A row with a null id belongs to the class of its text and isn't kept,
     unless no row of the class has an id; its class is null then. Rows with one id and one text are one document.
+    ``class_key`` numbers the classes, also those without an id; ``digest`` is the text's MD5.
 
     Nothing of the corpus goes to the driver but counts. Copies of a text are one node of the graph, found by a
     partial aggregation, and buckets are joined with their pivots only.
@@ -320,12 +321,19 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
 
     of_text = texts.join(root, "t", "left").select("digest", "first_id", "copies", F.coalesce("root", "t").alias("root"))
     of_class = of_text.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    known = of_text.join(of_class, "root").select("digest", "class_id", "class_size")
+    known = of_text.join(of_class, "root").select("digest", "root", "class_id", "class_size")
     out = docs.select("id", F.unhex(F.md5("text")).alias("digest")).join(known, "digest")
     keep = F.coalesce(F.col("id") == F.col("class_id"), F.col("class_id").isNull())
-    return out.select(F.col("id").alias(id_col), "class_id", "class_size", keep.alias("keep"))
+    return out.select(F.col("id").alias(id_col), "class_id", "class_size", keep.alias("keep"), F.col("root").alias("class_key"), "digest")
 
 
-def one_of_each(df: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``df`` that classes() keeps."""
-    return df.join(found.where("keep").select(id_col).distinct(), id_col, "left_semi").select(df.columns)
+def one_of_each(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``df`` for each class of classes(): of the rows it keeps, one with the least digest of the text.
+
+    Rows are told by id and text, so null ids, repeated rows and texts that share an id are no exceptions.
+    """
+    one = found.where("keep").groupBy("class_key").agg(F.min("digest").alias("_one_digest"), F.first("class_id").alias("_one_id")).select("_one_digest", "_one_id")
+    digest = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    rows = df.withColumn("_one_digest", digest).join(one, "_one_digest")
+    # a text is in one class, so the join's key is the class too and repeated rows need no other shuffle
+    return rows.where(F.col(id_col).cast("long").eqNullSafe(F.col("_one_id"))).dropDuplicates(["_one_digest"]).select(df.columns)

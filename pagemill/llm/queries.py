@@ -23,7 +23,7 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.classes(table(spark, sf_dir, "documents"))
+    return near_dup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "keep")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

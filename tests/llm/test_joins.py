@@ -142,6 +142,21 @@ def test_near_duplicate_edge_rows(edge_docs, no_docs):
     assert kept.columns == edge_docs.columns
 
 
+def test_one_row_of_each_class(spark, edge_docs, documents):
+    kept = near_dup.one_of_each(edge_docs, near_dup.classes(edge_docs)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == [(False, i) for i in (1, 3, 5, 6, 7, 9, 10, 11)] + [(True, 0)]
+    one, two = "a b c d e f g h i j", "k l m n o p q r s t"
+    rows = [(None, one), (None, two), (None, two), (5, one + " x"), (5, "u v w x y z 1 2 3"), (4, "u v w x y z 1 2 3"), (6, "alone here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = near_dup.classes(df)
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in near_dup.one_of_each(df, found).collect()) == [(False, 4, rows[5][1]), (False, 5, one + " x"), (False, 6, "alone here"), (True, 0, two)]
+    extra = documents.limit(20)
+    more = documents.unionByName(extra).unionByName(extra.withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.concat(F.lit("unheard of "), F.crc32("text").cast("string"))))
+    found = near_dup.classes(more)
+    out = near_dup.one_of_each(more, found)
+    assert out.count() == found.select("class_key").distinct().count() and out.where("doc_id is null").count() == extra.select("text").distinct().count()
+
+
 def brute_matches(docs, items):
     words = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
     bag = lambda w: collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
