@@ -30,7 +30,7 @@ RUN = (
 class Config:
     """How programs are run: budget of executed objects, files they may read, a program run before each, the clock."""
 
-    budget: int | None = 200_000
+    budget: int | None = 100_000_000  # the reference's
     files: dict = field(default_factory=dict)
     prelude: bytes = b""
     graphics: bool = True

@@ -33,6 +33,16 @@ def test_against_sql(spark, duck, small, name):
     assert rows(got) == rows(expected)
 
 
+def test_a_key_with_many_rows(spark, tmp_path):
+    n = 40_000
+    events = spark.range(n).selectExpr("id AS event_id", "1L AS user_id", "timestamp_seconds(id) AS ts", "if(id % 4 = 0, 'buy', 'view') AS event_type")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    assert [tuple(r) for r in QUERIES["program_dictionaries"](spark, str(tmp_path)).collect()] == [(1, f"buy {n // 4},view {n - n // 4}")]
+    lines = spark.range(2 * n).selectExpr("7L AS l_orderkey", "id AS l_linenumber", "1L AS l_partkey", "1L AS l_suppkey", "1.0D AS l_extendedprice", "double(id % 50) AS l_quantity")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert [tuple(r) for r in QUERIES["program_bbox"](spark, str(tmp_path)).collect()] == [(7, 0, 0, 49, 2 * n - 1)]
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
