@@ -43,6 +43,11 @@ def test_a_key_with_many_rows(spark, tmp_path):
     assert [tuple(r) for r in QUERIES["program_bbox"](spark, str(tmp_path)).collect()] == [(7, 0, 0, 49, 2 * n - 1)]
 
 
+@pytest.mark.parametrize("name, source", [("program_outcomes_whole", "part"), ("program_documents_whole", "orders")])
+def test_no_row_is_left_out(spark, small, name, source):
+    assert QUERIES[name](spark, small).count() == spark.read.parquet(f"{small}/{source}.parquet").count()
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
