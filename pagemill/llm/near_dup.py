@@ -8,7 +8,8 @@ its weights, up to a rank that yields enough of them, and keeps the earliest of
 an empty coordinate throws on to twice the rank. Two texts agree in a coordinate with a probability that is their weighted
 Jaccard similarity.
 
-Bands of ROWS coordinates are join keys. Texts are linked if their weighted or their plain Jaccard similarity,
+Bands of ROWS coordinates are join keys; a text with repeated shingles has bands of its distinct shingles too, each of
+weight 1, so that pairs of high plain similarity meet whatever their weighted one is. Texts are linked if their weighted or their plain Jaccard similarity,
 computed exactly, is SIMILARITY or more; a class is a connected component of links. Large groups are linked by few
 comparisons first: each member of a bucket with the one that has the most company, over two bands; then twice each
 member with the one of another class whose sketch is nearest, over three bands. Last, over all bands, every two members
@@ -35,10 +36,11 @@ BANDS, ROWS = 48, 7
 #: Darts to throw for K coordinates: K ln K + SPARE K leave one empty in 2 % of texts, which throw again.
 SPARE = 4
 _U = np.uint64
-#: Four bits of each coordinate, and of EXTRA ones that are in no band, make a sketch. Two texts of similarity 0.8 whose
-#: sketches tell of less than SKETCHED are 4.5 standard deviations off (3e-6); such a pair isn't compared exactly. The sketch is of the weighted similarity;
-#: where shingles occur more than once the bound is as much lower as that can be below the plain one.
-EXTRA, SKETCHED, LANES = 112, 0.71, 0x1111111111111111
+#: Four bits of each coordinate, and of EXTRA ones that are in no band, make a sketch. Two texts of similarity s whose
+#: sketches tell of less than s - SKETCH_MARGIN * sqrt(s * (1 - s)), 0.71 at 0.8, are about 4.5 standard deviations off (3e-6) or more;
+#: such a pair isn't compared exactly. The sketch is of the weighted similarity; where shingles occur more than once
+#: s is the least that it can be at a plain similarity of SIMILARITY.
+EXTRA, SKETCH_MARGIN, LANES = 112, 0.225, 0x1111111111111111
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -202,8 +204,22 @@ def components(edges: DataFrame, rows: int) -> DataFrame:
         state = now
 
 
+def plain_keys(elements: np.ndarray, owner: np.ndarray, repeated: np.ndarray, keys: np.ndarray, bands: int, rows: int) -> pa.ListArray:
+    """Band keys of the distinct shingles, of texts in which some occur repeatedly; null where they equal ``keys``.
+
+    Without repeats the two signatures are the same, so plain keys meet the keys of such texts too.
+    """
+    which = np.flatnonzero(repeated)
+    mine = repeated[owner]
+    own = np.searchsorted(which, owner[mine])
+    signatures = dart_signatures(elements[mine], np.ones(len(own), np.int64), own, len(which), bands * rows + EXTRA)
+    found = band_keys(np.ascontiguousarray(signatures[:, : bands * rows]), bands, rows)
+    ends = np.r_[0, np.cumsum(repeated * bands)].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(found.ravel(), mask=(found == keys[which]).ravel()))
+
+
 def signed(df: DataFrame, id_col: str, text_col: str, bands: int, rows: int) -> DataFrame:
-    """(id, digest of the text, numbers of shingles and of distinct ones, band keys, sketch)."""
+    """(id, digest of the text, numbers of shingles and of distinct ones, band keys, those of the distinct shingles, sketch)."""
 
     def run(batch: pa.RecordBatch):
         for part in slices(batch, text_col, 4 << 20):
@@ -213,12 +229,13 @@ def signed(df: DataFrame, id_col: str, text_col: str, bands: int, rows: int) ->
             signatures = dart_signatures(elements, weights, owner, len(sizes), bands * rows + EXTRA)
             keys, words = band_keys(np.ascontiguousarray(signatures[:, : bands * rows]), bands, rows), sketches(signatures)
             kinds = np.bincount(owner, minlength=len(sizes))
+            plain = plain_keys(elements, owner, kinds < sizes, keys, bands, rows)
             digests = [hashlib.md5(t).digest() for t in texts.cast(pa.binary()).to_pylist()]
             listed = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
             packed = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * words.shape[1]), pa.array(words.ravel()))
-            yield pa.record_batch([part.column(id_col), pa.array(digests, pa.binary()), pa.array(sizes), pa.array(kinds), listed, packed], names=[id_col, "digest", "n", "kinds", "bands", "sketch"])
+            yield pa.record_batch([part.column(id_col), pa.array(digests, pa.binary()), pa.array(sizes), pa.array(kinds), listed, plain, packed], names=[id_col, "digest", "n", "kinds", "bands", "plain", "sketch"])
 
-    return map_batches(id_and_text(df, id_col, text_col), run, f"`{id_col}` long, digest binary, n long, kinds long, bands array<long>, sketch array<long>")
+    return map_batches(id_and_text(df, id_col, text_col), run, f"`{id_col}` long, digest binary, n long, kinds long, bands array<long>, plain array<long>, sketch array<long>")
 
 
 def _bags(texts: DataFrame) -> DataFrame:
@@ -257,10 +274,11 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     """
     attach(df.sparkSession)
     docs = id_and_text(df, id_col, text_col).withColumnsRenamed({id_col: "id", text_col: "text"})
-    texts = signed(docs, "id", "text", bands, rows).groupBy("digest").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("kinds").alias("kinds"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    texts = signed(docs, "id", "text", bands, rows).groupBy("digest").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("kinds").alias("kinds"), F.first("bands").alias("bands"), F.first("plain").alias("plain"), F.first("sketch").alias("sketch"))
     texts = texts.withColumn("t", F.monotonically_increasing_id()).checkpoint()
 
-    keyed = texts.where("n > 0").select("t", F.col("n").cast("int").alias("n"), F.col("kinds").cast("int").alias("kinds"), F.posexplode("bands").alias("band", "key"))
+    keyed = texts.where("n > 0").select("t", F.col("n").cast("int").alias("n"), F.col("kinds").cast("int").alias("kinds"), F.posexplode(F.concat("bands", "plain")).alias("band", "key"))
+    keyed = keyed.where("key is not null").withColumn("band", F.col("band") % bands)
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = keyed.join(sizes, "key").select("key", "band", "t", "n", "kinds", "size").checkpoint()
     company = members.groupBy("t").agg(F.sum("size").alias("company")).checkpoint()
@@ -300,7 +318,8 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
             pairs = few(near, rows).select("t", F.col("best.pt").alias("pt"))
         else:  # all that are in different classes still and may have the similarity
             twice = (F.col("n") - F.col("kinds") + F.col("pn") - F.col("pkinds")) / F.greatest("kinds", "pkinds")
-            bound = F.lit(SKETCHED * least / SIMILARITY) / (1 + twice)
+            weighted_least = F.lit(least) / (1 + twice)
+            bound = weighted_least - SKETCH_MARGIN * F.sqrt(weighted_least * (1 - weighted_least))
             pairs = now.join(other, "key").where("root < proot").where(sized("n", "pn") | sized("kinds", "pkinds")).where(apart <= (1 - bound) * coordinates)
         pairs = pairs.select(F.least("t", "pt").alias("a"), F.greatest("t", "pt").alias("b")).distinct()
         if tested is not None:

@@ -142,6 +142,19 @@ def test_near_duplicate_edge_rows(edge_docs, no_docs):
     assert kept.columns == edge_docs.columns
 
 
+def test_texts_that_differ_in_how_often_a_line_repeats(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(12):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        line = words[:20]
+        rows += [(10 * i, " ".join(words)), (10 * i + 1, " ".join(words + line * (5 + 2 * i))), (10 * i + 2, " ".join(line * (20 + i) + words))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute_classes(rows)
+    assert len(set(expected.values())) == 12
+    assert {r.doc_id: r.class_id for r in near_dup.classes(df).collect()} == expected
+
+
 def test_one_row_of_each_class(spark, edge_docs, documents):
     kept = near_dup.one_of_each(edge_docs, near_dup.classes(edge_docs)).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == [(False, i) for i in (1, 3, 5, 6, 7, 9, 10, 11)] + [(True, 0)]
