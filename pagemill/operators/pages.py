@@ -116,11 +116,11 @@ def reduction_factor(width: Column, height: Column, a: Column, b: Column, c: Col
     return F.greatest(F.lit(1), F.floor(F.least(rx, ry) / target).cast("int"))
 
 
-def reached(roots: DataFrame, references: DataFrame, rounds: int = 32) -> DataFrame:
+def reached(roots: DataFrame, references: DataFrame) -> DataFrame:
     """(root, node) of all that roots reach over references (from, to), roots themselves included; to a fixpoint."""
     known = roots.select(F.col("root"), F.col("root").alias("node")).distinct()
     front = known
-    for _ in range(rounds):
+    while True:
         step = front.join(references, front["node"] == references["from"]).select("root", F.col("to").alias("node")).distinct()
         front = step.join(known, ["root", "node"], "left_anti").checkpoint()
         if front.isEmpty():

@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from pagemill.operators import pages
 from pagemill.plans import QUERIES, SQL
 
 
@@ -48,6 +49,12 @@ def test_no_row_is_left_out(spark, small, name, source):
     assert QUERIES[name](spark, small).count() == spark.read.parquet(f"{small}/{source}.parquet").count()
 
 
+def test_a_long_chain_of_references(spark):
+    links = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(36)] + [("n36", "n30")], "`from` string, `to` string")
+    found = pages.reached(spark.createDataFrame([("n0",)], "root string"), links).collect()
+    assert sorted(r.node for r in found) == sorted(f"n{i}" for i in range(37))
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
