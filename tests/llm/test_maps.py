@@ -236,3 +236,27 @@ def test_em_finds_accuracies():
     model = quality.expectation_maximisation(patterns, counts.astype(float), 5)
     assert abs(model.good - 0.8) < 0.02 and abs(model.chances[:, 0, 0].mean() - 0.7) < 0.03
     assert ((model.posterior(quality.pattern_of(votes)) > 0.5) == good).mean() > 0.97
+
+
+FOREIGN = [
+    "De regering heeft gisteren besloten dat er meer geld naar het onderwijs gaat en dat scholen zelf mogen kiezen.",
+    "Il governo ha deciso ieri che le scuole riceveranno piu soldi e potranno scegliere da sole come spenderli.",
+    "Hallitus paatti eilen etta koulut saavat enemman rahaa ja voivat itse valita miten ne kayttavat sen.",
+    "Rzad postanowil wczoraj ze szkoly otrzymaja wiecej pieniedzy i same zdecyduja jak je wydac.",
+    "Regeringen beslutade att skolorna ska ha mer pengar och att de ska bestamma hur de anvands.",
+    "xq zvkj wpfq jjkx vbnm qwrt zxcv plkj hgfd qzxw kjhg vvbn tgbq wwxz",
+]
+
+
+def test_foreign_texts_in_latin_letters_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = language_id.train(docs.where(~language_id.held_out_condition()))
+    assert model.predict(pa.array(FOREIGN))[2].all()
+    texts = [r.text for r in docs.where(language_id.held_out_condition()).where("n_chars >= 300").collect()]
+    assert model.predict(pa.array(texts))[2].mean() < 0.005
+
+
+def test_a_language_without_tuning_texts_has_a_limit(spark):
+    few = spark.createDataFrame([(i, t, "xx") for i, t in enumerate(["one two three", "four five six", "ten"])], "doc_id long, text string, lang string")
+    model = language_id.train(few)
+    assert np.isfinite(model.limit).all() and model.predict(pa.array(["\u4e2d\u6587" * 30, "one two three"]))[2].tolist() == [True, False]
