@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -27,7 +27,7 @@ def attach(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package, and make sure that a checkpoint folder is set.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as it is. Only where it
-    is unset (local tests) a temporary folder is taken.
+    is unset and all runs in one process (local tests) a temporary folder is taken; elsewhere that is an error.
     """
     context = spark.sparkContext
     paths = context.environment.get("PYTHONPATH", "").split(os.pathsep)
@@ -38,6 +38,8 @@ def attach(spark: SparkSession) -> SparkSession:
             spark.conf.set(key, value)
     if not context.getCheckpointDir():
         shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
     return spark
 
@@ -56,12 +58,6 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def release(spark: SparkSession) -> None:
-    """Lets go of shuffle files and checkpoints that nothing refers to any more, which Spark otherwise does by the half hour."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the checkpoint folder, read again; cuts the lineage."""
     spark = attach(df.sparkSession)

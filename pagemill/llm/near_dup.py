@@ -11,9 +11,9 @@ Jaccard similarity.
 Bands of ROWS coordinates are join keys; a text with repeated shingles has bands of its distinct shingles too, each of
 weight 1, so that pairs of high plain similarity meet whatever their weighted one is. Texts are linked if their weighted or their plain Jaccard similarity,
 computed exactly, is SIMILARITY or more; a class is a connected component of links. Large groups are linked by few
-comparisons first: each member of a bucket with the one that has the most company, over two bands; then twice each
-member with the one of another class whose sketch is nearest, over three bands. Last, over all bands, every two members
-of a bucket that are in different classes still are compared, unless their sketches say that they can't be similar. So
+comparisons first: each member of a bucket with its pivot, the one that has the most company. Then every two members
+of a bucket that are in different classes still are compared, unless the shingles counted by lane (see lanes()) prove that
+they can't be similar. That proof is exact: it bounds the similarity from above, so no link is lost to it. So
 no bucket is capped, and the copies of a text cost about one comparison each, not one a pair.
 """
 
@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, id_and_text, map_batches, release, slices
+from .common import attach, id_and_text, map_batches, slices
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: At similarity 0.8 a pair shares no band with probability 1e-5; at 0.35 it shares one with probability 0.03.
@@ -36,11 +36,9 @@ BANDS, ROWS = 48, 7
 #: Darts to throw for K coordinates: K ln K + SPARE K leave one empty in 2 % of texts, which throw again.
 SPARE = 4
 _U = np.uint64
-#: Four bits of each coordinate, and of EXTRA ones that are in no band, make a sketch. Two texts of similarity s whose
-#: sketches tell of less than s - SKETCH_MARGIN * sqrt(s * (1 - s)), 0.71 at 0.8, are about 4.5 standard deviations off (3e-6) or more;
-#: such a pair isn't compared exactly. The sketch is of the weighted similarity; where shingles occur more than once
-#: s is the least that it can be at a plain similarity of SIMILARITY.
-EXTRA, SKETCH_MARGIN, LANES = 112, 0.225, 0x1111111111111111
+#: Lanes of shingles, and how many shingles of a lane are counted one by one; see lanes().
+LANES, DEPTH = 1024, 2
+WORDS = LANES * DEPTH // 64
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -147,21 +145,23 @@ def band_keys(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> n
     return out.view(np.int64)
 
 
-def sketches(signatures: np.ndarray) -> np.ndarray:
-    """(texts, words) of four bits a coordinate, 16 coordinates a word."""
-    texts, k = signatures.shape
-    bits = np.zeros((texts, -(-k // 16) * 16), np.uint64)
-    bits[:, :k] = _mix(signatures.view(np.uint64)) >> _U(60)
-    return np.bitwise_or.reduce(bits.reshape(texts, -1, 16) << (np.arange(16, dtype=np.uint64) * _U(4)), axis=2).view(np.int64)
+def lanes(elements: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """((texts, WORDS) of bits, surplus of each text) of distinct shingles.
+
+    A shingle's hash puts it into one of LANES lanes; bit d of a lane is set if it holds more than d shingles, and
+    shingles beyond DEPTH in a lane are the surplus. Two texts share at most as many shingles as bits, by lane, and
+    the lesser surplus: min(x, y) = min(x, d) + ... holds for each lane, and sums of minima are at most minima of sums.
+    """
+    counts = np.bincount(owner * LANES + (elements % _U(LANES)).astype(np.int64), minlength=texts * LANES).reshape(texts, LANES)
+    bits = np.concatenate([np.packbits(counts > d, axis=1) for d in range(DEPTH)], axis=1)
+    return np.ascontiguousarray(bits).view(np.int64), np.maximum(counts - DEPTH, 0).sum(axis=1)
 
 
-def differing(a: list, b: list):
-    """Coordinates in which two sketches differ, as a Column."""
-    out = F.lit(0)
-    fold = lambda z, n: z.bitwiseOR(F.call_function("shiftrightunsigned", z, F.lit(n)))
+def most_shared(a: list, b: list, surplus: str, other: str):
+    """The number of distinct shingles that two texts share at most, by lanes(), as a Column."""
+    out = F.least(surplus, other)
     for x, y in zip(a, b, strict=True):
-        z = F.col(x).bitwiseXOR(F.col(y))
-        out = out + F.bit_count(fold(fold(z, 1), 2).bitwiseAND(F.lit(LANES)))
+        out = out + F.bit_count(F.col(x).bitwiseAND(F.col(y)))
     return out
 
 
@@ -212,42 +212,45 @@ def plain_keys(elements: np.ndarray, owner: np.ndarray, repeated: np.ndarray, ke
     which = np.flatnonzero(repeated)
     mine = repeated[owner]
     own = np.searchsorted(which, owner[mine])
-    signatures = dart_signatures(elements[mine], np.ones(len(own), np.int64), own, len(which), bands * rows + EXTRA)
-    found = band_keys(np.ascontiguousarray(signatures[:, : bands * rows]), bands, rows)
+    signatures = dart_signatures(elements[mine], np.ones(len(own), np.int64), own, len(which), bands * rows)
+    found = band_keys(signatures, bands, rows)
     ends = np.r_[0, np.cumsum(repeated * bands)].astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(found.ravel(), mask=(found == keys[which]).ravel()))
 
 
 def signed(df: DataFrame, id_col: str, text_col: str, bands: int, rows: int) -> DataFrame:
-    """(id, digest of the text, numbers of shingles and of distinct ones, band keys, those of the distinct shingles, sketch)."""
+    """(id, digest of the text, numbers of shingles and of distinct ones, band keys, those of the distinct shingles)."""
 
     def run(batch: pa.RecordBatch):
         for part in slices(batch, text_col, 4 << 20):
             texts = part.column(text_col)
             bags, sizes = shingle_bags(texts)
             elements, weights, owner = weighted(bags, sizes)
-            signatures = dart_signatures(elements, weights, owner, len(sizes), bands * rows + EXTRA)
-            keys, words = band_keys(np.ascontiguousarray(signatures[:, : bands * rows]), bands, rows), sketches(signatures)
+            keys = band_keys(dart_signatures(elements, weights, owner, len(sizes), bands * rows), bands, rows)
             kinds = np.bincount(owner, minlength=len(sizes))
             plain = plain_keys(elements, owner, kinds < sizes, keys, bands, rows)
             digests = [hashlib.md5(t).digest() for t in texts.cast(pa.binary()).to_pylist()]
             listed = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
-            packed = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * words.shape[1]), pa.array(words.ravel()))
-            yield pa.record_batch([part.column(id_col), pa.array(digests, pa.binary()), pa.array(sizes), pa.array(kinds), listed, plain, packed], names=[id_col, "digest", "n", "kinds", "bands", "plain", "sketch"])
+            yield pa.record_batch([part.column(id_col), pa.array(digests, pa.binary()), pa.array(sizes), pa.array(kinds), listed, plain], names=[id_col, "digest", "n", "kinds", "bands", "plain"])
 
-    return map_batches(id_and_text(df, id_col, text_col), run, f"`{id_col}` long, digest binary, n long, kinds long, bands array<long>, plain array<long>, sketch array<long>")
+    return map_batches(id_and_text(df, id_col, text_col), run, f"`{id_col}` long, digest binary, n long, kinds long, bands array<long>, plain array<long>")
 
 
 def _bags(texts: DataFrame) -> DataFrame:
-    """(t, bag): sorted shingle hashes as bytes."""
+    """(t, bag, lanes, surplus): sorted shingle hashes as bytes, and lanes() of the distinct ones. Repeated rows of a batch give one."""
 
     def run(batch: pa.RecordBatch):
-        for part in slices(batch, "text"):
+        _, first = np.unique(batch.column("t").to_numpy(), return_index=True)
+        for part in slices(batch.take(pa.array(first)), "text"):
             bags, sizes = shingle_bags(part.column("text"))
+            elements, _, owner = weighted(bags, sizes)
+            bits, surplus = lanes(elements, owner, len(sizes))
             ends = np.cumsum(sizes)
-            yield pa.record_batch([part.column("t"), pa.array([bags[e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.binary())], names=["t", "bag"])
+            each = pa.array([bags[e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.binary())
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * WORDS), pa.array(bits.ravel()))
+            yield pa.record_batch([part.column("t"), each, listed, pa.array(surplus.astype(np.int32))], names=["t", "bag", "lanes", "surplus"])
 
-    return map_batches(texts.select("t", "text"), run, "t long, bag binary")
+    return map_batches(texts.select("t", "text"), run, "t long, bag binary, lanes array<long>, surplus int")
 
 
 def _compared(pairs: DataFrame) -> DataFrame:
@@ -261,6 +264,21 @@ def _compared(pairs: DataFrame) -> DataFrame:
     return map_batches(pairs.select("a", "b", "x", "y"), run, "a long, b long, similarity double")
 
 
+def _linked(root: DataFrame, nodes: int, pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
+    """(t, root) after the pairs (t, pt) of texts have been compared; roots of texts that are linked become one."""
+    pairs = pairs.select(F.least("t", "pt").alias("a"), F.greatest("t", "pt").alias("b")).distinct()
+    left, right = bags.select(F.col("t").alias("a"), F.col("bag").alias("x")), bags.select(F.col("t").alias("b"), F.col("bag").alias("y"))
+    links = _compared(pairs.join(left, "a").join(right, "b")).where(F.col("similarity") >= least).select("a", "b").checkpoint()
+    n_links = links.count()
+    if not n_links:
+        return root
+    links = few(links, n_links)
+    ends = links.join(root.withColumnsRenamed({"t": "a", "root": "ra"}), "a").join(root.withColumnsRenamed({"t": "b", "root": "rb"}), "b")
+    merged = components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")), n_links)
+    root = root.join(merged.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("t", F.coalesce("to", "root").alias("root"))
+    return few(root, nodes).checkpoint()
+
+
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, class_id, class_size, keep, class_key, digest) of each row: class_id is the least id of the row's class.
 
@@ -270,73 +288,47 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     ``class_key`` numbers the classes, also those without an id; ``digest`` is the text's MD5.
 
     Nothing of the corpus goes to the driver but counts. Copies of a text are one node of the graph, found by a
-    partial aggregation, and buckets are joined with their pivots only.
+    partial aggregation. Buckets are joined with their pivots, then only members in different classes with one another.
     """
     attach(df.sparkSession)
     docs = id_and_text(df, id_col, text_col).withColumnsRenamed({id_col: "id", text_col: "text"})
-    texts = signed(docs, "id", "text", bands, rows).groupBy("digest").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("kinds").alias("kinds"), F.first("bands").alias("bands"), F.first("plain").alias("plain"), F.first("sketch").alias("sketch"))
+    texts = signed(docs, "id", "text", bands, rows).groupBy("digest").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("kinds").alias("kinds"), F.first("bands").alias("bands"), F.first("plain").alias("plain"))
     texts = texts.withColumn("t", F.monotonically_increasing_id()).checkpoint()
 
-    keyed = texts.where("n > 0").select("t", F.col("n").cast("int").alias("n"), F.col("kinds").cast("int").alias("kinds"), F.posexplode(F.concat("bands", "plain")).alias("band", "key"))
-    keyed = keyed.where("key is not null").withColumn("band", F.col("band") % bands)
+    keyed = texts.where("n > 0").select("t", F.col("n").cast("int").alias("n"), F.col("kinds").cast("int").alias("kinds"), F.explode(F.concat("bands", "plain")).alias("key")).where("key is not null")
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = keyed.join(sizes, "key").select("key", "band", "t", "n", "kinds", "size").checkpoint()
+    members = keyed.join(sizes, "key").select("key", "t", "n", "kinds", "size").checkpoint()
     company = members.groupBy("t").agg(F.sum("size").alias("company")).checkpoint()
-    wanted = company.select("t").join(texts, "t").select("t", "digest", F.col("first_id").alias("id"))
-    with_id = docs.select(F.unhex(F.md5("text")).alias("digest"), "id", "text")
-    found = with_id.where("id is not null").join(wanted.where("id is not null"), ["digest", "id"]).select("t", "text")
-    no_id = with_id.where("id is null").join(wanted.where("id is null").drop("id"), "digest").select("t", "text")
-    bags = _bags(found.unionByName(no_id)).dropDuplicates(["t"]).checkpoint()
-    release(df.sparkSession)
-
-    nodes, band_rows = company.count(), rows
-    mine, theirs = ([f"{x}{i}" for i in range(-(-(bands * rows + EXTRA) // 16))] for x in ("s", "q"))
-    told = texts.select("t", *[F.get("sketch", F.lit(i)).alias(x) for i, x in enumerate(mine)])
-    told = company.join(texts.select("t", *[F.get("sketch", F.lit(i)).alias(x) for i, x in enumerate(mine)]), "t")
-    told = few(told, nodes).checkpoint()
+    nodes = company.count()
     root = few(company.select("t", F.col("t").alias("root")), nodes)
-    tested = None
-    for first, stop, how in ((0, 2, "pivot"), (2, 5, "nearest"), (5, 8, "nearest"), (0, bands, "all")):
-        now = members.where((F.col("band") >= first) & (F.col("band") < stop)).select("key", "t", "n", "kinds").join(root, "t")
-        split = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-        now = now.join(split, "key").join(told, "t").checkpoint()
-        rows = now.count()
-        if not rows:
-            continue
+    if nodes:
+        wanted = company.select("t").join(texts, "t").select("t", "digest", F.col("first_id").alias("id"))
+        with_id = docs.select(F.unhex(F.md5("text")).alias("digest"), "id", "text")
+        found = with_id.where("id is not null").join(wanted.where("id is not null"), ["digest", "id"]).select("t", "text")
+        no_id = with_id.where("id is null").join(wanted.where("id is null").drop("id"), "digest").select("t", "text")
+        bags = _bags(found.unionByName(no_id)).dropDuplicates(["t"]).checkpoint()
         # sizes that differ more can't have the similarity, neither as bags nor as sets
-        sized = lambda x, y: F.least(x, y) >= F.lit(least) * F.greatest(x, y)
-        other = now.select("key", F.col("t").alias("pt"), F.col("n").alias("pn"), F.col("kinds").alias("pkinds"), F.col("root").alias("proot"), *[F.col(x).alias(y) for x, y in zip(mine, theirs, strict=True)])
-        coordinates = 15 / 16 * (bands * band_rows + EXTRA)
-        apart = differing(mine, theirs)
-        if how == "pivot":  # every member with the one that has the most company
-            chosen = now.groupBy("key").agg(F.max(F.struct("company", (-F.col("t")).alias("least"), "n", "kinds", "root")).alias("p"))
-            chosen = few(chosen, rows).select("key", (-F.col("p.least")).alias("pt"), F.col("p.n").alias("pn"), F.col("p.kinds").alias("pkinds"), F.col("p.root").alias("proot"))
-            pairs = now.join(chosen, "key").where("root <> proot").where(sized("n", "pn") | sized("kinds", "pkinds"))
-        elif how == "nearest":  # every member with the one of another class that looks most like it
-            near = now.join(other, "key").where("root <> proot").where(apart <= (1 - 0.98 * least) * coordinates)
-            near = near.groupBy("t").agg(F.min(F.struct(apart.alias("apart"), "pt")).alias("best"))
-            pairs = few(near, rows).select("t", F.col("best.pt").alias("pt"))
-        else:  # all that are in different classes still and may have the similarity
-            twice = (F.col("n") - F.col("kinds") + F.col("pn") - F.col("pkinds")) / F.greatest("kinds", "pkinds")
-            weighted_least = F.lit(least) / (1 + twice)
-            bound = weighted_least - SKETCH_MARGIN * F.sqrt(weighted_least * (1 - weighted_least))
-            pairs = now.join(other, "key").where("root < proot").where(sized("n", "pn") | sized("kinds", "pkinds")).where(apart <= (1 - bound) * coordinates)
-        pairs = pairs.select(F.least("t", "pt").alias("a"), F.greatest("t", "pt").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        left, right = bags.select(F.col("t").alias("a"), F.col("bag").alias("x")), bags.select(F.col("t").alias("b"), F.col("bag").alias("y"))
-        done = _compared(pairs.join(left, "a").join(right, "b")).checkpoint()
-        links = done.where(F.col("similarity") >= least)
-        n_pairs, n_links = done.agg(F.count(F.lit(1)), F.count_if(F.col("similarity") >= least)).first()
-        links, done = few(links, n_links), few(done, n_pairs)
-        if n_links:
-            names = root.select("t", "root")
-            ends = links.join(names.withColumnsRenamed({"t": "a", "root": "ra"}), "a").join(names.withColumnsRenamed({"t": "b", "root": "rb"}), "b")
-            merged = components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")), n_links)
-            root = root.join(merged.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("t", F.coalesce("to", "root").alias("root"))
-            root = few(root, nodes).checkpoint()
-        tested = done.select("a", "b") if tested is None else tested.unionByName(done.select("a", "b"))
-        release(df.sparkSession)
+        enough = lambda shared, x, y: shared * (1 + least) >= F.lit(least) * (x + y) - 1e-6
+        sized = enough(F.least("n", "pn"), F.col("n"), F.col("pn")) | enough(F.least("kinds", "pkinds"), F.col("kinds"), F.col("pkinds"))
+
+        # every member with the one of its bucket that has the most company
+        ranked = members.join(company, "t")
+        pivots = ranked.groupBy("key").agg(F.max(F.struct("company", (-F.col("t")).alias("least"), "n", "kinds")).alias("p")).select("key", (-F.col("p.least")).alias("pt"), F.col("p.n").alias("pn"), F.col("p.kinds").alias("pkinds"))
+        pairs = members.join(pivots, "key").where("t <> pt").where(sized)
+        root = _linked(root, nodes, pairs, bags, least)
+
+        # all that are in different classes still and may have the similarity
+        now = members.join(root, "t")
+        split = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+        mine, theirs = ([f"{x}{i}" for i in range(WORDS)] for x in ("v", "w"))
+        told = bags.select("t", "surplus", *[F.get("lanes", F.lit(i)).alias(x) for i, x in enumerate(mine)])
+        now = now.join(split, "key").select("key", "t", "n", "kinds", "root").join(told, "t").checkpoint()
+        other = now.select("key", F.col("t").alias("pt"), F.col("n").alias("pn"), F.col("kinds").alias("pkinds"), F.col("root").alias("proot"), F.col("surplus").alias("psurplus"), *[F.col(x).alias(y) for x, y in zip(mine, theirs, strict=True)])
+        shared = most_shared(mine, theirs, "surplus", "psurplus")
+        repeats = F.least(F.col("n") - F.col("kinds"), F.col("pn") - F.col("pkinds"))
+        pairs = now.join(other, "key").where("root < proot").where(sized)
+        pairs = pairs.where(enough(shared, F.col("kinds"), F.col("pkinds")) | enough(shared + repeats, F.col("n"), F.col("pn")))
+        root = _linked(root, nodes, pairs, bags, least)
 
     of_text = texts.join(root, "t", "left").select("digest", "first_id", "copies", F.coalesce("root", "t").alias("root"))
     of_class = of_text.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
@@ -351,8 +343,8 @@ def one_of_each(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_co
 
     Rows are told by id and text, so null ids, repeated rows and texts that share an id are no exceptions.
     """
-    one = found.where("keep").groupBy("class_key").agg(F.min("digest").alias("_one_digest"), F.first("class_id").alias("_one_id")).select("_one_digest", "_one_id")
+    one = found.where("keep").groupBy("class_key").agg(F.min("digest").alias("_kept_digest"), F.first("class_id").alias("_kept_id")).select("_kept_digest", "_kept_id")
     digest = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    rows = df.withColumn("_one_digest", digest).join(one, "_one_digest")
-    # a text is in one class, so the join's key is the class too and repeated rows need no other shuffle
-    return rows.where(F.col(id_col).cast("long").eqNullSafe(F.col("_one_id"))).dropDuplicates(["_one_digest"]).select(df.columns)
+    same = F.col("_one_digest").eqNullSafe(F.col("_kept_digest")) & F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id"))
+    # by text and id: the copies of a text, which may be many, spread by their ids
+    return df.withColumn("_one_digest", digest).join(one, same).dropDuplicates(["_kept_digest", "_kept_id"]).select(*[F.col(f"`{c}`") for c in df.columns])

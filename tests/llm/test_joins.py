@@ -130,6 +130,17 @@ def test_darts_estimate_weighted_similarity():
     assert abs((found[0] == found[1]).mean() - true) < 0.03 and np.isinf(found[2]).all()
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 6000), max_size=400, unique=True), min_size=2, max_size=5))
+def test_lanes_bound_what_texts_share(texts):
+    elements = np.array([x for t in texts for x in t], np.uint64)
+    bits, surplus = near_dup.lanes(elements, np.repeat(np.arange(len(texts)), [len(t) for t in texts]), len(texts))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        both = sum(int(x).bit_count() for x in (bits[i] & bits[j]).view(np.uint64))
+        assert len({*texts[i]} & {*texts[j]}) <= both + min(surplus[i], surplus[j])
+    assert bits.shape[1] == near_dup.WORDS
+
+
 def test_near_duplicate_edge_rows(edge_docs, no_docs):
     rows = near_dup.classes(edge_docs).collect()
     of = {(r.doc_id): r for r in rows}
