@@ -19,6 +19,9 @@ a block, not one a document.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import hashlib
 import struct
 
@@ -33,8 +36,8 @@ from .common import attach, id_and_text, ragged_take, slices
 WIDTH, GRAM = 50, 24
 _SPAN = WIDTH - GRAM + 1  # k-grams of a window, and windows of a stretch at the most
 _ROW = (_SPAN + WIDTH - 1 + 7) // 8 * 8  # bytes of a stretch, padded
-#: Text bytes of a block on average; windows that are looked at at once; suffixes that are sorted at once.
-BLOCK_BYTES, STEP, SORTED = 8 << 20, 1 << 19, 1 << 21
+#: Text bytes of a block on average, and blocks a bucket; windows, stretches and suffixes that are worked on at once.
+BLOCK_BYTES, BUCKET_BLOCKS, STEP, STRETCHES, SORTED = 4 << 20, 2, 1 << 18, 1 << 16, 1 << 20
 _PLACE = np.uint64(22)
 _KEY_BITS = 42
 LAST = np.int64(np.iinfo(np.int64).max)
@@ -178,15 +181,30 @@ class Block:
 
     def distinct_stretches(self) -> tuple[np.ndarray, ...]:
         """(number of each stretch's text, and by number: a stretch, key, least and greatest id), in the order of keys."""
-        rows = padded_rows(self.data, self.first, self.count + WIDTH - 1)
-        order, number = grouped(rows, self.count, self.keys)
-        at = _changes(number)
-        which = np.empty(len(order), np.int64)
-        which[order] = number
-        if not len(order):
-            return which, order, self.keys, self.owner, self.owner
-        owner = self.owner[order]
-        return which, order[at], self.keys[order[at]], np.minimum.reduceat(owner, at), np.maximum.reduceat(owner, at)
+        by_key = np.argsort(self.keys, kind="stable")
+        keys = self.keys[by_key]
+        which = np.empty(len(by_key), np.int64)
+        some, least, most = [], [], []
+        a = done = 0
+        while a < len(by_key):  # a key's stretches stay together
+            b = min(len(by_key), a + STRETCHES)
+            if b < len(by_key):
+                low = int(np.searchsorted(keys, keys[b], side="left"))
+                b = low if low > a else int(np.searchsorted(keys, keys[b], side="right"))
+            part = by_key[a:b]
+            rows = padded_rows(self.data, self.first[part], self.count[part] + WIDTH - 1)
+            order, number = grouped(rows, self.count[part], keys[a:b])
+            at = _changes(number)
+            which[part[order]] = number + done
+            owner = self.owner[part[order]]
+            some.append(part[order[at]])
+            least.append(np.minimum.reduceat(owner, at))
+            most.append(np.maximum.reduceat(owner, at))
+            a, done = b, done + len(at)
+        if not some:
+            return which, by_key, keys, self.owner, self.owner
+        which_stretch = np.concatenate(some)
+        return which, which_stretch, self.keys[which_stretch], np.concatenate(least), np.concatenate(most)
 
 
 def padded_rows(data: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -371,6 +389,20 @@ def _running(flags: np.ndarray) -> np.ndarray:
 # -- the steps as functions of groups -------------------------------------------------------------
 
 
+def frugal(fn):
+    """``fn`` in a worker that gives memory back after each group; several workers of an executor wait for work at a time."""
+
+    @functools.wraps(fn)
+    def run(*args):
+        pa.set_memory_pool(pa.system_memory_pool())
+        out = fn(*args)
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
+        return out
+
+    return run
+
+
 def _blobs(table: pa.Table) -> list[bytes]:
     return table.column("data").to_pylist()
 
@@ -383,12 +415,14 @@ def _rows(rows: list[tuple]) -> pa.Table:
 SENT = "to long, of long, data binary"
 
 
+@frugal
 def send_keys(table: pa.Table, buckets: int) -> pa.Table:
     block = table.column("block")[0].as_py()
     keys, several = Block(_blobs(table)).distinct_keys()
     return _rows([(k, block, _squeeze(np.diff(keys[s], prepend=_U(0)), np.packbits(several[s]))) for k, s in bucket_slices(keys, buckets)])
 
 
+@frugal
 def answer_keys(table: pa.Table) -> pa.Table:
     bucket = table.column("to")[0].as_py()
     blocks, parts, flags = table.column("of").to_pylist(), [], []
@@ -415,6 +449,7 @@ def _shared(block: Block, answers: pa.Table, buckets: int) -> None:
     block.keep(keys[keep])
 
 
+@frugal
 def send_stretches(table: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     if not table.num_rows:
         return _rows([])
@@ -431,6 +466,7 @@ def send_stretches(table: pa.Table, answers: pa.Table, buckets: int) -> pa.Table
     return _rows(out)
 
 
+@frugal
 def answer_stretches(table: pa.Table) -> pa.Table:
     bucket = table.column("to")[0].as_py()
     blocks = table.column("of").to_pylist()
@@ -473,6 +509,7 @@ def answer_stretches(table: pa.Table) -> pa.Table:
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
+@frugal
 def cut_out(table: pa.Table, answers: pa.Table, buckets: int, id_col: str, with_text: bool) -> pa.Table:
     names = [id_col, *(c.split()[0] for c in RESULT.split(", ")), *["kept"] * with_text]
     block = Block(_blobs(table)) if table.num_rows else None
@@ -522,14 +559,17 @@ def cut_out(table: pa.Table, answers: pa.Table, buckets: int, id_col: str, with_
 
 
 def blocks_of(df: DataFrame, id_col: str, text_col: str, blocks: int) -> DataFrame:
-    """(block, data): each document in the block of its id's hash, packed by block where it was read."""
+    """(block, data): each document in the block of its id's hash (its text's if it has no id), packed by block where it was read."""
 
     def pack(batches):
         options = pa.ipc.IpcWriteOptions(compression="zstd")
         for batch in batches:
             for part in slices(batch, text_col):
                 ids = part.column(id_col)
-                own = (_mix(np.asarray(pc.fill_null(ids, 0)).astype(np.uint64)) % _U(blocks)).astype(np.int64)
+                own = np.asarray(pc.fill_null(ids, 0)).astype(np.uint64)
+                for at in np.flatnonzero(np.asarray(pc.is_null(ids))):  # rows without an id are spread by their texts
+                    own[at] = int.from_bytes(hashlib.md5(part.column(text_col)[int(at)].as_buffer()).digest()[:8], "little")
+                own = (_mix(own) % _U(blocks)).astype(np.int64)
                 order = np.argsort(own, kind="stable")
                 own = own[order]
                 moved = pa.table([ids, part.column(text_col).cast(pa.large_binary())], names=["id", "text"]).take(pa.array(order))
@@ -553,17 +593,17 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     WIDTH lose nothing.
 
     Documents are shuffled by block, packed, once for each of the two steps; besides them keys, bits, stretches and
-    answers travel. The number of blocks and buckets follows the bytes of text.
+    answers travel. The numbers of blocks and of buckets follow the bytes of text; a bucket has the keys of BUCKET_BLOCKS blocks.
     """
     spark = attach(df.sparkSession)
     total = df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     blocks = max(2 * spark.sparkContext.defaultParallelism, -(-total // block_bytes))
-    buckets = blocks
+    buckets = max(spark.sparkContext.defaultParallelism, -(-blocks // BUCKET_BLOCKS))
     parted = blocks_of(df, id_col, text_col, blocks)
     keys = parted.groupBy("block").applyInArrow(lambda t: send_keys(t, buckets), SENT)
-    bits = keys.groupBy("to").applyInArrow(answer_keys, SENT).withColumnRenamed("to", "block").checkpoint()
+    bits = keys.groupBy("to").applyInArrow(lambda t: answer_keys(t), SENT).withColumnRenamed("to", "block").checkpoint()
     stretches = parted.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(lambda t, a: send_stretches(t, a, buckets), SENT)
-    told = stretches.groupBy("to").applyInArrow(answer_stretches, SENT).withColumnRenamed("to", "block")
+    told = stretches.groupBy("to").applyInArrow(lambda t: answer_stretches(t), SENT).withColumnRenamed("to", "block")
     answers = bits.withColumn("kind", F.lit(0)).unionByName(told.withColumn("kind", F.lit(1)))
     result = f"`{id_col}` long, {RESULT}" + ", kept binary" * with_text
     return parted.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: cut_out(t, a, buckets, id_col, with_text), result)
