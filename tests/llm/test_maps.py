@@ -3,6 +3,7 @@
 import hashlib
 import html
 import re
+import time
 import zlib
 
 import numpy as np
@@ -133,6 +134,35 @@ def test_links_in_main_are_no_text():
     assert html_extract.main_text(page) == "\n".join(BODY)
 
 
+PROSE = "".join(f"<p>{t}</p>" for t in BODY)
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [  # boxes without a telling name or class, or with one that misleads
+        (f"<body><div><div><a href=/>Home</a> <a href=/n>News</a></div><div><span>Log in</span> <span>Sign up</span></div></div><div><h1>The bridge</h1>{PROSE}</div><div><h3>You may also like</h3><ul><li><a href=x>A tunnel</a></li><li><a href=y>A ferry</a></li></ul></div><div>\xa9 2024 Example Corp. All rights reserved.</div></body>", ["The bridge", *BODY]),
+        (f"<body><div id=page><div><a href=/>Home</a></div><div><div><h1>The bridge</h1></div><div>{PROSE}</div></div><div>Imprint, terms and privacy. \xa9 Example</div></div></body>", ["The bridge", *BODY]),
+        (f"<body><table><tr><td><a href=a>One</a><br><a href=b>Two</a></td><td>{PROSE}</td><td>Weather: 12 degrees</td></tr></table></body>", BODY),
+        (f"<form id=aspnet><div class=topbar>Search here</div><div>{PROSE}</div></form>", BODY),
+        (f"<div class=search>{PROSE}</div><p>Tiny</p>", BODY),
+        (f"<article><div class='entry-header'><h1>Title</h1></div>{PROSE}<section class='reviews'><p>The reviews were good and many.</p></section></article>", ["Title", *BODY, "The reviews were good and many."]),
+        (f"<div><h1>The bridge</h1><p>A lead of one sentence.</p><div>{PROSE}</div></div>", ["The bridge", "A lead of one sentence.", *BODY]),
+        (f"<div>{PROSE}</div><div class=comments>{PROSE * 3}</div>", BODY),
+        (f"<article>{PROSE}</article><article><h2><a href=x>Another story</a></h2><p>A short teaser.</p></article>", BODY),
+        (f"<div>{PROSE}</div><div class=cookie-consent><p>We use cookies. They help us to make this page better for you.</p></div>", BODY),
+    ],
+)
+def test_boxes_that_tell_nothing(page, text):
+    assert html_extract.main_text(page).split("\n") == text
+
+
+@pytest.mark.parametrize("part", ["<a x='", "<b c ", "<a \"<a >\"", "<div>", "<div class=ad>", "<div></x>", "<!--", "</p>", "<p>x", "<article>", "&amp", "<a x=\"'>", "<h1><ul>"])
+def test_a_megabyte_of_broken_markup(part):
+    began = time.perf_counter()
+    html_extract.main_text(part * (1_000_000 // len(part)) + "'")
+    assert time.perf_counter() - began < 20  # a second or two
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(st.sampled_from(list("<>/!-p diva='\"&;")), max_size=60))
 def test_no_markup_breaks_it(page):
