@@ -15,7 +15,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.withColumn("contaminated", F.lit(True))
+    return found.drop("row_key").withColumn("contaminated", F.lit(True))
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
