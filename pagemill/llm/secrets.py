@@ -31,6 +31,8 @@ PARTS = (
     "the and with from that this have will para con las los und der die das les des une pour avec"
 ).split()
 _FIRST, _CHARS = 33, 94
+#: Spans that are gathered in one array.
+CHUNK = 256
 
 
 def _spans(text: Column, pattern: str, kind: int) -> Column:
@@ -45,11 +47,16 @@ def _spans(text: Column, pattern: str, kind: int) -> Column:
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         stop = start + F.coalesce(F.length(x["found"]), F.lit(0))
-        one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"), x["found"].alias("found")))
-        return F.struct(stop.alias("at"), F.when(x["found"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).cast(kinds).alias("out"))
-
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(kinds).alias("out")), step, lambda acc: acc["out"])
-    return found
+        one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"), x["found"].alias("found"))).cast(kinds)
+        none = x["found"].isNull()
+        room = F.size(acc["last"]) < CHUNK
+        last = F.when(none, acc["last"]).when(room, F.concat(acc["last"], one)).otherwise(one)
+        full = F.when(none | room, acc["full"]).otherwise(F.concat(acc["full"], F.array(acc["last"])))
+        return F.struct(stop.alias("at"), last.alias("last"), full.alias("full"))
+
+    # spans are gathered in chunks; an array of all of them would be copied for each match
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(kinds).alias("last"), F.array().cast(f"array<{kinds}>").alias("full"))
+    return F.aggregate(parts, start, step, lambda acc: F.concat(F.flatten(acc["full"]), acc["last"]))
 
 
 def _where(condition: Column, spans: Column) -> Column:
