@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import attach, id_and_text, map_batches, slices, total_by_text
 
 ORDER = 4
-#: Documents of each language that a model is fitted on, at the most, as an expected number; and the most languages.
-TRAIN_DOCS, MAX_LANGUAGES = 1500, 500
+#: Documents of each language that a model is fitted on, at the most, as an expected number.
+TRAIN_DOCS = 1500
 UNKNOWN = "und"
 #: A rejected text's cross-entropy is above this quantile of the language's own held-out texts by this many nats a character.
 #: Measured on documents that tuned nothing (sf0.1): they reach 1.2 nats above a quantile of about 1.65, sentences of
@@ -116,7 +116,8 @@ class Model:
                     self.kept[words[i]] = scores[i]
         sizes = np.fromiter((len(w) for w in words), np.int64, len(words))
         scores[sizes == 0] = 0
-        letters = total_by_text(sizes[index], bounds)
+        own_letters = pc.utf8_length(pc.replace_substring_regex(pa.array(words, pa.string()), r"\p{M}+", "")).to_numpy(zero_copy_only=False).astype(np.int64)
+        letters = total_by_text(own_letters[index], bounds)  # marks are part of words, but no letters
         chars = total_by_text(np.where(sizes > 0, sizes + 1, 0)[index], bounds)
         nats = np.stack([total_by_text(scores[index, k], bounds) for k in range(len(self.languages))], axis=1)
         return nats / np.maximum(chars, 1)[:, None], letters
@@ -222,7 +223,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """
     attach(df.sparkSession)
     labelled = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna()
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = labelled.groupBy("lang").count().orderBy("lang").collect()
     if not sizes:
         return Model([], [], [], [], np.zeros(0, np.float32))
     draw = (F.xxhash64(F.lit("sample"), "id").bitwiseAND(F.lit((1 << 30) - 1))) / float(1 << 30)
