@@ -145,8 +145,20 @@ def _ogg(b: bytes, at: int) -> tuple[str, int] | None:
     return ("audio/ogg", p - at) if last and p <= len(b) else None
 
 
-def _pdf(b: bytes, at: int) -> tuple[str, int] | None:
-    if not b[at + 5 : at + 6].isdigit() or (end := b.find(b"%%EOF", at)) < 0 or b.find(b"startxref", at, end) < 0:
+class Data(bytes):
+    """Bytes in which no stretch is searched twice for a mark."""
+
+    def next(self, mark: bytes, at: int) -> int:
+        """The first place of the mark at or after ``at``, or -1; asked with rising places."""
+        near = self.__dict__.setdefault("near", {})
+        start, found = near.get(mark, (0, -2))
+        if not (start <= at and (found == -1 or at <= found)):
+            near[mark] = at, (found := self.find(mark, at))
+        return found
+
+
+def _pdf(b: Data, at: int) -> tuple[str, int] | None:
+    if not b[at + 5 : at + 6].isdigit() or (end := b.next(b"%%EOF", at)) < 0 or not 0 <= b.next(b"startxref", at) < end:
         return None
     return "application/pdf", end + 5 - at
 
@@ -179,6 +191,7 @@ def automaton():
 
 def sniff(data: bytes) -> list[tuple[str, int, int]]:
     """(type, offset, length) of every validated medium; none inside another one that starts before it."""
+    data = Data(data)
     out, free = [], 0
     for end, (kind, n) in automaton().iter(data.decode("latin-1")):
         at = end + 1 - n

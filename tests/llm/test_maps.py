@@ -1,5 +1,6 @@
 """Operators that work on each row alone: tokens, packing, pages, media, languages, quality."""
 
+import collections
 import hashlib
 import html
 import re
@@ -232,16 +233,67 @@ def test_language(edge_docs, no_docs, documents):
     assert model.predict(far)[2].tolist() == [True]
 
 
-def test_kneser_ney_sums_to_one():
-    from collections import Counter
-
-    model = language_id.kneser_ney({"a": Counter({"abc": 3, "abd": 2, "ba": 1}), "b": Counter({"zz": 2, "za": 5})})
-    letters = sorted({c for w in ("abc", "abd", "ba", "zz", "za") for c in w} | {" "})
-    for k, own in enumerate(({"a", "b", "c", "d", " "}, {"z", "a", " "})):
-        floor = np.exp(model.floor[k])
-        total = sum(np.exp(model.logp[0][np.searchsorted(model.hashes[0], language_id._hashes(np.array([ord(c)], np.uint64), 1)[0])][k]) for c in own)
-        assert total + floor <= 1.0 + 1e-6 and total > 0.5
-    assert letters
+def plain_kneser_ney(counts, order):
+    """p(language, n-gram): the last character's probability after the others, straight from the definition."""
+    letters = len({c for own in counts.values() for w in own for c in f"{w} "}) + 1
+    tables = {}
+    for lang, own in counts.items():
+        raw, left = collections.Counter(), collections.defaultdict(set)
+        for w, n in own.items():
+            w = f" {w} "
+            for end in range(1, len(w)):
+                for size in range(1, min(order, end + 1) + 1):
+                    g = w[end + 1 - size : end + 1]
+                    if size == order or size == end + 1:
+                        raw[g] += n
+                    else:
+                        left[g].add(w[end - size])
+        for g, x in left.items():
+            raw[g] += len(x)
+        tables[lang] = raw
+
+    def p(lang, g):
+        if not g:
+            return 1 / letters
+        raw = {x: n for x, n in tables[lang].items() if len(x) == len(g)}
+        after = [n for x, n in raw.items() if x[:-1] == g[:-1]]
+        below = p(lang, g[1:])
+        if not after:
+            return below
+        once, twice = sum(n == 1 for n in raw.values()), sum(n == 2 for n in raw.values())
+        d = min(max(once / max(1, once + 2 * twice) or 0.5, 0.1), 0.95)
+        return (max(raw.get(g, 0) - d, 0) + d * len(after) * below) / sum(after)
+
+    return p
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.dictionaries(st.text("abc\u00e9", min_size=1, max_size=7), st.integers(1, 4), min_size=1, max_size=6), min_size=1, max_size=3), st.lists(st.text("abcdz", min_size=1, max_size=8), min_size=1, max_size=5))
+def test_kneser_ney_against_its_definition(samples, words):
+    counts = {f"l{k}": collections.Counter(x) for k, x in enumerate(samples)}
+    words += [w for x in samples for w in x][:5]
+    model = language_id.kneser_ney(counts)
+    p = plain_kneser_ney(counts, language_id.ORDER)
+    got = model.word_scores(words)
+    for i, w in enumerate(words):
+        padded = f" {w} "
+        for k, lang in enumerate(model.languages):
+            nats = -sum(np.log(p(lang, padded[max(0, end + 1 - language_id.ORDER) : end + 1])) for end in range(1, len(padded)))
+            assert abs(nats - got[i, k]) < 1e-3 * max(1, nats)
+
+
+def test_marks_are_no_letters(spark):
+    model = language_id.kneser_ney({"a": collections.Counter({"abc": 3})})
+    rows = [(1, "\u0301\u0302 \u0301 12"), (2, "abc"), (3, "e\u0301")]
+    out = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert out[1].lang_pred == "und" and out[1].rejected and out[1].score == 0 and out[2].lang_pred == out[3].lang_pred == "a"
+
+
+def test_unfinished_documents_take_no_time():
+    began = time.perf_counter()
+    assert media.sniff(b"%PDF-1" * 200_000) == [] and media.sniff(b"%PDF-1 startxre " * 100_000 + b"%%EOF") == []
+    found = media.sniff(b"%PDF-1 startxref 0 %%EOF" * 3)
+    assert [x[1:] for x in found] == [(0, 24), (24, 24), (48, 24)] and time.perf_counter() - began < 10
 
 
 def test_quality(edge_docs, no_docs, spark, small):
