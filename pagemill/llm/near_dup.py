@@ -39,6 +39,8 @@ _U = np.uint64
 #: Lanes of shingles, and how many shingles of a lane are counted one by one; see lanes().
 LANES, DEPTH = 1024, 2
 WORDS = LANES * DEPTH // 64
+#: Longs in the set of wanted digests, 4 MB as a broadcast.
+SLOTS = 1 << 18
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -222,7 +224,7 @@ def signed(df: DataFrame, id_col: str, text_col: str, bands: int, rows: int) ->
     """(id, digest of the text, numbers of shingles and of distinct ones, band keys, those of the distinct shingles)."""
 
     def run(batch: pa.RecordBatch):
-        for part in slices(batch, text_col, 4 << 20):
+        for part in slices(batch, text_col, 2 << 20):
             texts = part.column(text_col)
             bags, sizes = shingle_bags(texts)
             elements, weights, owner = weighted(bags, sizes)
@@ -264,6 +266,18 @@ def _compared(pairs: DataFrame) -> DataFrame:
     return map_batches(pairs.select("a", "b", "x", "y"), run, "a long, b long, similarity double")
 
 
+def _may_be_among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose digest may be in ``wanted``, by a set of SLOTS * 64 bits that is broadcast; so few others are shuffled.
+
+    Its size doesn't depend on the data. A set that is full lets all rows pass.
+    """
+    h = F.xxhash64("digest")
+    slot, bit = F.pmod(h, F.lit(SLOTS)).cast("int"), F.call_function("shiftrightunsigned", h, F.lit(58)).cast("int")
+    bits = wanted.select(slot.alias("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("one")).groupBy("slot").agg(F.bit_or("one").alias("bits"))
+    told = rows.withColumn("slot", slot).join(F.broadcast(bits), "slot")
+    return told.where(F.call_function("bit_get", F.col("bits"), bit) == 1).select(*rows.columns)
+
+
 def _linked(root: DataFrame, nodes: int, pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
     """(t, root) after the pairs (t, pt) of texts have been compared; roots of texts that are linked become one."""
     pairs = pairs.select(F.least("t", "pt").alias("a"), F.greatest("t", "pt").alias("b")).distinct()
@@ -303,7 +317,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     root = few(company.select("t", F.col("t").alias("root")), nodes)
     if nodes:
         wanted = company.select("t").join(texts, "t").select("t", "digest", F.col("first_id").alias("id"))
-        with_id = docs.select(F.unhex(F.md5("text")).alias("digest"), "id", "text")
+        with_id = _may_be_among(docs.select(F.unhex(F.md5("text")).alias("digest"), "id", "text"), wanted.select("digest"))
         found = with_id.where("id is not null").join(wanted.where("id is not null"), ["digest", "id"]).select("t", "text")
         no_id = with_id.where("id is null").join(wanted.where("id is null").drop("id"), "digest").select("t", "text")
         bags = _bags(found.unionByName(no_id)).dropDuplicates(["t"]).checkpoint()

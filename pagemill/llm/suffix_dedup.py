@@ -19,8 +19,6 @@ a block, not one a document.
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import functools
 import hashlib
 import struct
@@ -31,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, id_and_text, ragged_take, slices
+from .common import attach, give_back, id_and_text, ragged_take, slices
 
 WIDTH, GRAM = 50, 24
 _SPAN = WIDTH - GRAM + 1  # k-grams of a window, and windows of a stretch at the most
@@ -396,8 +394,7 @@ def frugal(fn):
     def run(*args):
         pa.set_memory_pool(pa.system_memory_pool())
         out = fn(*args)
-        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
         return out
 
     return run
