@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from functools import lru_cache
 
 import numpy as np
 
@@ -136,82 +137,94 @@ def flate_encode(data: bytes) -> bytes:
 CLEAR, STOP = 256, 257
 
 
-def lzw_decode(data: bytes, early: int = 1) -> tuple[bytes, int]:
-    out, table, width = bytearray(), [], 9
-    held, bits, at, before = 0, 0, 0, None
+_CODES = 4096
+_SINGLE = [bytes([x]) for x in range(256)] + [b"", b""]
+
+
+@lru_cache(maxsize=2)
+def _lzw_widths(early: int) -> np.ndarray:
+    """Bits of the k-th code after a clearing, for as many as a full table has; all later ones have 12."""
+    known = np.maximum(np.arange(_CODES), 1) + 257 + early  # a reader's table is one entry behind the writer's
+    return np.clip(np.floor(np.log2(known)).astype(np.int64) + 1, 9, 12)
 
-    def entry(code: int) -> bytes:
-        if code < 256:
-            return bytes([code])
-        return table[code - 258]
 
+def lzw_decode(data: bytes, early: int = 1) -> tuple[bytes, int]:
+    """(what the codes stand for, bytes read); codes are cut out of the bits many at a time."""
+    raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int64)
+    total, bit, out = 8 * len(data), 0, []
+    widths, k = _lzw_widths(early), 0
+    table, before = list(_SINGLE), None
     while True:
-        while bits < width:
-            if at >= len(data):
-                return bytes(out), at
-            held, bits, at = held << 8 | data[at], bits + 8, at + 1
-        bits -= width
-        code = held >> bits & ((1 << width) - 1)
-        held &= (1 << bits) - 1
-        if code == STOP:
-            return bytes(out), at
-        if code == CLEAR:
-            table, width, before = [], 9, None
-            continue
-        if before is None:
-            if code > 255:
-                raise BadData("a first code beyond the bytes")
-            word = entry(code)
+        size = widths[k:] if k < _CODES else np.full(_CODES, 12)
+        ends = bit + np.cumsum(size)
+        n = int(np.searchsorted(ends, total, side="right"))
+        ends, size = ends[:n], size[:n]
+        first = (ends - size) >> 3
+        held = raw[first] << 16 | raw[first + 1] << 8 | raw[first + 2]
+        codes = held >> (24 - (ends - 8 * first)) & ((1 << size) - 1)
+        marks = np.flatnonzero((codes == CLEAR) | (codes == STOP))
+        upto = int(marks[0]) if len(marks) else n
+        for code in codes[:upto].tolist():
+            if before is None:
+                if code > 255:
+                    raise BadData("a first code beyond the bytes")
+                before = table[code]
+            else:
+                if code < len(table):
+                    word = table[code]
+                elif code == len(table):
+                    word = before + before[:1]
+                else:
+                    raise BadData("a code that isn't defined yet")
+                if len(table) < _CODES:
+                    table.append(before + word[:1])
+                before = word
+            out.append(before)
+        if upto < n:
+            bit = int(ends[upto])
+            if codes[upto] == STOP:
+                return b"".join(out), (bit + 7) >> 3
+            table, before, k = list(_SINGLE), None, 0
+        elif n < len(widths[k:] if k < _CODES else range(_CODES)):
+            return b"".join(out), len(data)
         else:
-            if code - 258 > len(table):
-                raise BadData("a code that isn't defined yet")
-            word = entry(code) if code < 256 or code - 258 < len(table) else before + before[:1]
-            if len(table) < 4096 - 258:
-                table.append(before + word[:1])
-        out += word
-        before = word
-        width = min(12, max(9, (len(table) + 258 + early).bit_length()))
+            bit, k = int(ends[-1]), _CODES
 
 
 def lzw_encode(data: bytes, early: int = 1) -> bytes:
-    out, held, bits = bytearray(), 0, 0
-    table: dict[bytes, int] = {}
-    width, next_code = 9, 258
-
-    def put(code: int) -> None:
-        nonlocal held, bits
-        held, bits = held << width | code, bits + width
-        while bits >= 8:
-            bits -= 8
-            out.append(held >> bits & 255)
-        held &= (1 << bits) - 1
-
-    put(CLEAR)
-    word = b""
-    code_of = lambda w: w[0] if len(w) == 1 else table[w]
-    for i in range(len(data)):
-        longer = word + data[i : i + 1]
-        if len(longer) == 1 or longer in table:
-            word = longer
+    codes, counts = [CLEAR], []  # codes after each clearing, with the one that ends them
+    table: dict[int, int] = {}
+    begun, code, fresh = 1, -1, 258
+    for c in data:
+        if code < 0:
+            code = c
             continue
-        put(code_of(word))
-        table[longer] = next_code
-        next_code += 1
-        # a reader's table is one entry behind, which is what the writer's width must follow
-        width = min(12, max(9, (next_code - 1 + early).bit_length()))
-        if next_code >= 4095:
-            put(CLEAR)
+        key = code << 8 | c
+        if (longer := table.get(key)) is not None:
+            code = longer
+            continue
+        codes.append(code)
+        table[key] = fresh
+        fresh += 1
+        if fresh >= _CODES - 1:
+            codes.append(CLEAR)
+            counts.append(len(codes) - begun)
+            begun = len(codes)
             table.clear()
-            width, next_code = 9, 258
-        word = data[i : i + 1]
-    if word:
-        put(code_of(word))
-        next_code += 1
-        width = min(12, max(9, (next_code - 1 + early).bit_length()))
-    put(STOP)
-    if bits:
-        out.append(held << 8 - bits & 255)
-    return bytes(out)
+            fresh = 258
+        code = c
+    if code >= 0:
+        codes.append(code)
+    codes.append(STOP)
+    counts.append(len(codes) - begun)
+    widths = np.concatenate([[9], *(_lzw_widths(early)[:n] for n in counts)])
+    starts = np.cumsum(widths) - widths
+    bits = np.zeros(int(widths.sum()), np.uint8)
+    every = np.array(codes)
+    for width in range(9, 13):
+        which = np.flatnonzero(widths == width)
+        bits[starts[which][:, None] + np.arange(width)] = every[which][:, None] >> np.arange(width - 1, -1, -1) & 1
+    return np.packbits(bits).tobytes()
 
 
 def unpredicted(data: bytes, predictor: int, colors: int = 1, bits: int = 8, columns: int = 1) -> bytes:
