@@ -27,6 +27,9 @@ def main(arguments: list[str] | None = None) -> int:
     parser.add_argument("--prelude", help="a program that is run first")
     parser.add_argument("--param", action="append", default=[], metavar="KEY=VALUE", help="a distiller parameter, VALUE as the language writes it")
     parser.add_argument("--lock", action="append", default=[], metavar="KEY", help="a distiller parameter that the program can't change")
+    parser.add_argument("--identity", action="append", default=[], metavar="KEY=VALUE", help="an entry of statusdict")
+    parser.add_argument("--embed-all", action="store_true", help="EmbedAllFonts true")
+    parser.add_argument("--no-subset", action="store_true", help="SubsetFonts false")
     parser.add_argument("--no-compress", action="store_true")
     parser.add_argument("--no-graphics", action="store_true")
     try:
@@ -36,6 +39,8 @@ def main(arguments: list[str] | None = None) -> int:
         program = Path(o.file).read_bytes()
         prelude = Path(o.prelude).read_bytes() if o.prelude else b""
         given = dict(p.split("=", 1) for p in o.param)
+        given |= ({"EmbedAllFonts": "true"} if o.embed_all else {}) | ({"SubsetFonts": "false"} if o.no_subset else {})
+        identity = dict(p.split("=", 1) for p in o.identity)
     except SystemExit as e:
         return 0 if not e.code else 2
     except (OSError, ValueError) as e:
@@ -43,7 +48,10 @@ def main(arguments: list[str] | None = None) -> int:
         return 2
     from .vm import dump, pdf
 
-    vm = interpreter(Config(budget=o.budget, prelude=prelude, graphics=not o.no_graphics, clock=None))
+    # what the call states is said in the language before the program runs
+    asked = " ".join(f"/{k} {v}" for k, v in given.items())
+    said = "".join(f"statusdict /{k} {v} put\n" for k, v in identity.items()) + (f"<< {asked} >> setdistillerparams\n" if given else "")
+    vm = interpreter(Config(budget=o.budget, prelude=said.encode("latin-1", "replace") + prelude, graphics=not o.no_graphics, clock=None))
     outcome, _, _ = vm.job(program)
     sys.stdout.buffer.write(bytes(vm.out))
     sys.stderr.buffer.write(bytes(vm.err))
@@ -51,8 +59,7 @@ def main(arguments: list[str] | None = None) -> int:
     if o.action == "ir":
         sys.stdout.write("\n".join(map(dump.page_text, pages)))
     if o.action == "pdf":
-        asked = [e for e in vm.events if e[0] != "param" or e[1] not in o.lock]
-        events = [("param", k, v) for k, v in given.items()] + asked
+        events = [e for e in vm.events if e[0] != "param" or e[1] not in o.lock] + [("param", k, given[k]) for k in o.lock if k in given]
         Path(o.out).write_bytes(pdf.write(pages, events, not o.no_compress))
     return CODES[outcome]
 

@@ -44,6 +44,12 @@ def programs(df: DataFrame, id_col: str, bytes_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("string").alias("program_id"), F.coalesce(F.col(bytes_col).cast("binary"), F.lit(b"")).alias("bytes"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scanned table in as many partitions as the cluster works on at once, at least; to run a program costs far more than to move it."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def _rows(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
         for a in range(0, batch.num_rows, BATCH):
@@ -160,6 +166,17 @@ def page_rows(runs: DataFrame) -> DataFrame:
     return runs.select("program_id", F.explode("pages").alias("p")).select("program_id", "p.*")
 
 
+def page_resources(runs: DataFrame) -> DataFrame:
+    """(program_id, page_no, kind, ref, text) of what pages use: colour spaces, images, fonts, patterns, forms and shadings.
+
+    ``text`` is the canonical description after the kind and the number; a body in braces keeps its lines.
+    """
+    listed = F.split(F.regexp_extract("p.ir", r"(?s)\nresources:\n(.*?)\n?ops:\n", 1), r"\n(?=[a-z]+ \d)", -1)
+    rows = runs.select("program_id", F.explode("pages").alias("p")).select("program_id", "p.page_no", F.explode(listed).alias("line")).where("line <> ''")
+    part = lambda n: F.regexp_extract("line", r"(?s)^([a-z]+) (\d+) ?(.*)$", n)
+    return rows.select("program_id", "page_no", part(1).alias("kind"), part(2).cast("int").alias("ref"), part(3).alias("text"))
+
+
 def doc_marks(runs: DataFrame) -> DataFrame:
     return runs.select("program_id", F.explode("marks").alias("m")).select("program_id", "m.*")
 

@@ -445,6 +445,50 @@ SCREENS = [
     ("pdfmark", "[ /Rect [0 0 @a 9] /Subtype /Link /ANN pdfmark 1 1 2 2 rectfill showpage", "'|f'"),
 ]
 
+_RECT = "m {0} {1};l {2} {1};l {2} {3};l {0} {3};h"
+
+
+def _page(resources: str, operations: str, size: str = "612 792") -> str:
+    return f"'ir/1;page {size};resources:;{resources}ops:;{operations}'"
+
+
+#: Whole pages as canonical text, lines parted by semicolons.
+DUMPS = [
+    ("w J j M d i", "@a 1 add setlinewidth 1 setlinecap 2 setlinejoin 5 setmiterlimit [3 @a] 1 setdash 2 setflat 0 0 moveto 7 0 lineto stroke showpage", _page("", "i 2;w ' || (a + 1) || ';J 1;j 2;M 5;d [3 ' || a || '] 1;sa false;m 0 0;l 7 0;S")),
+    ("op sa", "true setoverprint true setstrokeadjust 0 0 moveto @a 0 lineto stroke showpage", _page("", "op true;sa true;m 0 0;l ' || a || ' 0;S")),
+    ("sc f", "0.5 setgray 1 2 @a 4 rectfill showpage", _page("", "sc 0.5;m 1 2;l ' || (a + 1) || ' 2;l ' || (a + 1) || ' 6;l 1 6;h;f")),
+    ("cs sc", "1 0 0 setrgbcolor 0 0 5 @a rectfill 0 1 0 0 setcmykcolor 0 0 5 5 rectfill showpage", _page("cs 0 DeviceRGB;cs 1 DeviceCMYK;", "cs 0;sc 1 0 0;m 0 0;l 5 0;l 5 ' || a || ';l 0 ' || a || ';h;f;cs 1;sc 0 1 0 0;" + _RECT.format(0, 0, 5, 5) + ";f")),
+    ("q Q W", "0 0 moveto @a 0 lineto 5 5 lineto closepath clip newpath 1 1 2 2 rectfill showpage", _page("", "q;m 0 0;l ' || a || ' 0;l 5 5;h;W n;" + _RECT.format(1, 1, 3, 3) + ";f;Q")),
+    ("f*", "0 0 moveto @a 0 lineto 5 5 lineto closepath eofill showpage", _page("", "m 0 0;l ' || a || ' 0;l 5 5;h;f*")),
+    ("text", "/Courier 10 selectfont @a 8 moveto (ab) show showpage", _page("font 0 Courier;", "text 0 0.01 0 0 0.01 ' || a || ' 8 (ab) 600 0 600 0")),
+    ("text", "/Helvetica-Bold @a 1000 mul selectfont 0 0 moveto (bm) show showpage", _page("font 0 Helvetica-Bold;", "text 0 ' || a || ' 0 0 ' || a || ' 0 0 (bm) 611 0 889 0")),
+    ("Do img", "@a 2 8 [@a 0 0 2 0 0] {(a)} image showpage", _page("cs 0 DeviceGray;img 0 ' || a || 'x2 bpc=8 cs=0 decode=[0 1] ' || 2 * a || ' bytes;", "Do img 0 1 0 0 -1 0 1")),
+    ("Do img", "8 1 true [8 0 0 1 0 0] {<8F>} imagemask @a 0 translate 8 1 true [8 0 0 1 0 0] {<8F>} imagemask showpage", _page("img 0 8x1 bpc=1 cs=mask decode=[1 0] 1 bytes;", "Do img 0 1 0 0 -1 0 1;Do img 0 1 0 0 -1 ' || a || ' 1")),
+    ("form", "/f << /FormType 1 /BBox [0 0 7 10] /Matrix [1 0 0 1 0 0] /PaintProc {pop 0 0 5 5 rectfill} >> def f execform @a 10 translate f execform showpage", _page("form 0 bbox 0 0 7 10 {;  q;  m 0 0;  l 7 0;  l 7 10;  l 0 10;  h;  W n;  m 0 0;  l 5 0;  l 5 5;  l 0 5;  h;  f;  Q;};", "form 0 1 0 0 1 0 0;form 0 1 0 0 1 ' || a || ' 10")),
+    ("pattern", _PATTERN + "matrix makepattern setpattern 0 0 9 9 rectfill showpage", _page("cs 0 Pattern base=DeviceGray;pattern 0 matrix 1 0 0 1 0 0 bbox 0 0 ' || a || ' 10 step 10 10 paint 1 tiling 1 {;  q;  m 0 0;  l ' || a || ' 0;  l ' || a || ' 10;  l 0 10;  h;  W n;  m 0 0;  l 5 0;  l 5 5;  l 0 5;  h;  f;  Q;};", "cs 0;pattern 0;" + _RECT.format(0, 0, 9, 9) + ";f")),
+    ("sh", "<< /ShadingType 2 /ColorSpace /DeviceRGB /Coords [0 0 @a 0] /Function << /FunctionType 2 /Domain [0 1] /C0 [1 0 0] /C1 [0 0 1] /N 1 >> >> shfill showpage", _page("shading 0 type 2 space DeviceRGB coords [0 0 ' || a || ' 0] domain [0 1] extend [false false] {;  function type 2 domain [0 1] c0 [1 0 0] c1 [0 0 1] n 1;};", "sh 0 1 0 0 1 0 0")),
+    ("annot", "[ /Rect [0 0 @a 9] /Subtype /Link /ANN pdfmark 1 1 2 2 rectfill showpage", _page("", _RECT.format(1, 1, 3, 3) + ";f;annot link 0 0 ' || a || ' 9 page=0 fit")),
+    ("page", "<< /PageSize [300 @a 400 add] >> setpagedevice 0 0 moveto 1 2 3 4 @a 8 curveto fill showpage", _page("", "m 0 0;c 1 2 3 4 ' || a || ' 8;f", "300 ' || (a + 400) || '")),
+    ("reverse path", "0 0 moveto 1 1 lineto @a 50 add 2 lineto closepath reversepath fill showpage", _page("", "m ' || (a + 50) || ' 2;l 1 1;l 0 0;h;f")),
+    ("transformed path", "2 3 scale @a 1 translate 0 0 moveto 1 1 lineto fill showpage", _page("", "m ' || 2 * a || ' 3;l ' || (2 * a + 2) || ' 6;f")),
+]
+
+#: Parts of whole documents: (what, program, pattern with one group, SQL).
+DOCUMENTS = [
+    ("media box", "<< /PageSize [300 @a 400 add] >> setpagedevice 0 0 1 1 rectfill showpage", r"/MediaBox \[([^\]]*)\]", "'0 0 300 ' || (a + 400)"),
+    ("content stream", "@a @b moveto 3 4 lineto closepath fill showpage", r"stream\r?\n([^<]*?)\r?\nendstream", "a || ' ' || b || ' m ' || '3 4 l h f'"),
+    ("widths", "/Helvetica-Bold @a selectfont 0 0 moveto (ac) show showpage", r"/Widths \[([^\]]*)\]", "'556 0 556'"),
+    ("first code", "/Courier @a selectfont 0 0 moveto (bc) show showpage", r"/FirstChar (\d+)", "'98'"),
+    ("base font", "/Times-Italic @a selectfont 0 0 moveto (x) show showpage", r"/BaseFont /(\S+)", "'Times-Italic'"),
+    ("page count", "@b 3 mod 1 add {0 0 1 1 rectfill showpage} repeat", r"/Count (\d+)", "b % 3 + 1"),
+    ("title", "[ /Title (T@a) /DOCINFO pdfmark 0 0 1 1 rectfill showpage", r"/Title \(([^)]*)\)", "'T' || a"),
+    ("outline", "[ /Title (First@a) /Page 1 /OUT pdfmark 0 0 1 1 rectfill showpage", r"/Title \(([^)]*)\)", "'First' || a"),
+    ("image size", "@a 2 8 [@a 0 0 2 0 0] {(a)} image showpage", r"/Width (\d+)", "a"),
+    ("shading", "<< /ShadingType 2 /ColorSpace /DeviceRGB /Coords [0 0 @a 0] /Function << /FunctionType 2 /Domain [0 1] /C0 [1 0 0] /C1 [0 0 1] /N 1 >> >> shfill showpage", r"/Coords \[([^\]]*)\]", "'0 0 ' || a || ' 0'"),
+    ("type 3 widths", "/T << /FontType 3 /FontMatrix [1 0 0 1 0 0] /FontBBox [0 0 1 1] /Encoding 256 array 0 1 255 {1 index exch /.notdef put} for dup 65 /A put /BuildChar {pop pop @a 0 0 0 1 1 setcachedevice 0 0 1 1 rectfill} >> definefont setfont 0 0 moveto (A) show showpage", r"/Widths \[([^\]]*)\]", "a"),
+    ("version", "0 0 1 @a rectfill showpage", r"%PDF-(1\.\d)", "'1.7'"),
+]
+
 FAMILIES = {
     "stack": STACK, "arithmetic": ARITHMETIC, "array": ARRAYS, "type": TYPES, "dictionary": DICTIONARIES, "control": CONTROL, "memory": MEMORY, "file": FILES, "random": RANDOM,
     "resource": RESOURCES, "parameter": PARAMETERS, "state": STATE, "path": PATHS, "paint": PAINT, "color": COLOR, "font": FONTS, "cmap": CMAPS, "pattern": PATTERNS, "screen": SCREENS,

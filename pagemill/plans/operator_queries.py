@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import programs as p
 from ..sources.tables import table
-from .operator_cases import FAMILIES
+from .operator_cases import DOCUMENTS, DUMPS, FAMILIES
 from .registry import query
 
 
@@ -25,16 +25,24 @@ def _sql(cases) -> str:
     return "WITH s AS (SELECT s_suppkey, s_suppkey + 1 AS a, s_nationkey AS b FROM supplier) " + " UNION ALL ".join(each)
 
 
+def _made(spark, sf_dir, cases):
+    """(program_id, bytes) of every case for every supplier."""
+    rows = p.spread(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"))
+    filled = lambda text: F.replace(F.replace(F.lit(text), F.lit("@a"), (F.col("s_suppkey") + 1).cast("string")), F.lit("@b"), F.col("s_nationkey").cast("string"))
+    made = rows.select("s_suppkey", F.posexplode(F.array(*[filled(case[1]) for case in cases])).alias("no", "program"))
+    return p.programs(made.withColumn("program_id", F.concat_ws(":", "s_suppkey", "no")), "program_id", "program")
+
+
+def _told(out, cases):
+    """(s_suppkey, no, operators, said) of (program_id, said)."""
+    part = F.split("program_id", ":")
+    no = part[1].cast("int")
+    return out.select(part[0].cast("bigint").alias("s_suppkey"), no.alias("no"), F.element_at(F.array(*[F.lit(case[0]) for case in cases]), no + 1).alias("operators"), "said")
+
+
 def _family(name: str, cases) -> None:
     def run(spark, sf_dir):
-        rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-        filled = lambda text: F.replace(F.replace(F.lit(text), F.lit("@a"), (F.col("s_suppkey") + 1).cast("string")), F.lit("@b"), F.col("s_nationkey").cast("string"))
-        made = rows.select("s_suppkey", F.posexplode(F.array(*[filled(text) for _, text, _ in cases])).alias("no", "program"))
-        key = F.concat_ws(":", "s_suppkey", "no")
-        out = said(p.run_programs(p.programs(made.withColumn("program_id", key), "program_id", "program")))
-        part = F.split("program_id", ":")
-        no = part[1].cast("int")
-        return out.select(part[0].cast("bigint").alias("s_suppkey"), no.alias("no"), F.element_at(F.array(*[F.lit(names) for names, _, _ in cases]), no + 1).alias("operators"), "said")
+        return _told(said(p.run_programs(_made(spark, sf_dir, cases))), cases)
 
     run.__name__ = f"program_{name}_ops"
     run.__doc__ = f"What the operators of the family {name} say."
@@ -43,3 +51,35 @@ def _family(name: str, cases) -> None:
 
 for _name, _cases in FAMILIES.items():
     _family(_name, _cases)
+
+
+@query(_sql(DUMPS))
+def program_dumps(spark, sf_dir):
+    """Whole pages as canonical text, for each kind of operation and resource."""
+    pages = F.array_join(F.transform("pages", lambda x: F.replace(F.trim(x["ir"], F.lit("\n")), F.lit("\n"), F.lit(";"))), "/")
+    return _told(p.run_programs(_made(spark, sf_dir, DUMPS)).select("program_id", pages.alias("said")), DUMPS)
+
+
+@query(_sql([(what, program, sql) for what, program, _, sql in DOCUMENTS]))
+def program_document_parts(spark, sf_dir):
+    """Parts of the documents that programs become."""
+    out = p.distill(_made(spark, sf_dir, DOCUMENTS), p.Config(compress=False))
+    text = F.decode("document", "ISO-8859-1")
+    no = F.split("program_id", ":")[1].cast("int")
+    found = F.coalesce(*[F.when(no == k, F.regexp_extract(text, pattern, 1)) for k, (_, _, pattern, _) in enumerate(DOCUMENTS)])
+    return _told(out.select("program_id", F.trim(F.regexp_replace(found, r"\s+", " ")).alias("said")), DOCUMENTS)
+
+
+@query(
+    "SELECT s_suppkey, 'cs' AS kind, 0 AS ref, 'DeviceRGB' AS \"text\" FROM supplier UNION ALL SELECT s_suppkey, 'font', 0, 'Courier' FROM supplier "
+    "UNION ALL SELECT s_suppkey, 'font', 1, 'Times-Roman' FROM supplier UNION ALL SELECT s_suppkey, 'form', 0, 'bbox 0 0 ' || (s_suppkey + 1) || ' 10 {;  q;  m 0 0;  l ' || (s_suppkey + 1) || ' 0;  l ' || "
+    "(s_suppkey + 1) || ' 10;  l 0 10;  h;  W n;  m 0 0;  l 5 0;  l 5 5;  l 0 5;  h;  f;  Q;}' FROM supplier UNION ALL SELECT s_suppkey, 'img', 0, '8x1 bpc=1 cs=mask decode=[1 0] 1 bytes' FROM supplier"
+)
+def program_resources(spark, sf_dir):
+    """What pages use, one row each."""
+    program = (
+        "1 0 0 setrgbcolor 1 1 @a 2 rectfill /Courier @a selectfont 0 0 moveto (a) show /Times-Roman 9 selectfont (b) show 8 1 true [8 0 0 1 0 0] {<8F>} imagemask "
+        "<< /FormType 1 /BBox [0 0 @a 10] /Matrix [1 0 0 1 0 0] /PaintProc {pop 0 0 5 5 rectfill} >> execform showpage"
+    )
+    found = p.page_resources(p.run_programs(_made(spark, sf_dir, [("all", program)])))
+    return found.select(F.split("program_id", ":")[0].cast("bigint").alias("s_suppkey"), "kind", "ref", F.replace("text", F.lit("\n"), F.lit(";")).alias("text"))

@@ -32,7 +32,7 @@ def program_bbox(spark, sf_dir):
 )
 def program_arithmetic(spark, sf_dir):
     text = F.concat(F.col("c_custkey").cast("string"), F.lit(" 3 mul 7 sub dup =only ( ) print dup 5 idiv =only ( ) print 5 mod ="))
-    runs = p.run_programs(p.programs(table(spark, sf_dir, "customer").withColumn("program", text), "c_custkey", "program"))
+    runs = p.run_programs(p.programs(p.spread(table(spark, sf_dir, "customer").select("c_custkey")).withColumn("program", text), "c_custkey", "program"))
     lines = p.output_lines(runs).select("program_id", "line")
     return p.outcomes(runs).join(lines, "program_id").select(F.col("program_id").cast("bigint").alias("c_custkey"), "line", "outcome")
 
@@ -40,7 +40,7 @@ def program_arithmetic(spark, sf_dir):
 def _outcomes(parts):
     kind = F.col("p_size") % 4
     text = F.when(kind == 0, "1 2 add =").when(kind == 1, "1 0 div").when(kind == 2, "1 (a) add").otherwise("{ } loop")
-    runs = p.run_programs(p.programs(parts.withColumn("program", text), "p_partkey", "program"), p.Config(budget=20_000))
+    runs = p.run_programs(p.programs(p.spread(parts.select("p_partkey", "p_size")).withColumn("program", text), "p_partkey", "program"), p.Config(budget=20_000))
     return p.outcomes(runs).select(F.col("program_id").cast("bigint").alias("p_partkey"), "outcome", F.col("error_name").alias("error"))
 
 
@@ -98,7 +98,7 @@ def program_jobs_in_pieces(spark, sf_dir):
 
 def _documents(orders):
     text = F.concat(F.lit("/Helvetica 12 selectfont 72 700 moveto ("), F.col("o_orderpriority"), F.lit(") show 72 72 "), F.col("o_custkey").cast("string"), F.lit(" 40 rectfill showpage"))
-    out = p.distill(p.programs(orders.withColumn("program", text), "o_orderkey", "program"))
+    out = p.distill(p.programs(p.spread(orders.select("o_orderkey", "o_custkey", "o_orderpriority")).withColumn("program", text), "o_orderkey", "program"))
     whole = F.expr("startswith(document, X'255044462D') and endswith(document, X'2525454F460A')")
     return out.select(F.col("program_id").cast("bigint").alias("o_orderkey"), "outcome", "pages", whole.alias("complete"))
 

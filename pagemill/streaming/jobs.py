@@ -20,8 +20,6 @@ from ..sources.tables import attach
 
 OUT = "job_id string, status string, outcome string, error_name string, steps bigint, pages int, reply binary, pieces int"
 STATE = "held binary"
-#: Bytes that an unfinished job may hold.
-LIMIT = 64 << 20
 
 
 def _row(key: str, status: str, run: dict | None, pieces: int) -> pd.DataFrame:
@@ -29,9 +27,11 @@ def _row(key: str, status: str, run: dict | None, pieces: int) -> pd.DataFrame:
     return pd.DataFrame({"job_id": [key], "status": [status], "outcome": [run["outcome"]], "error_name": [run["error_name"]], "steps": [run["steps"]], "pages": [len(run["pages"])], "reply": [run["stdout"]], "pieces": [pieces]})
 
 
-def finished_jobs(pieces: DataFrame, config: Config = Config(), timeout: str | None = None) -> DataFrame:
+def finished_jobs(pieces: DataFrame, config: Config = Config(), timeout: str | None = None, limit: int | None = None) -> DataFrame:
     """Rows of OUT from a stream of (job_id, chunk_no, bytes, eof): finished, refused, too large or abandoned.
 
+    ``limit`` bounds the bytes that an unfinished job may hold, for servers that must; none is set unless asked for.
+
     ``timeout`` ("10 minutes") is the time without a piece after which a job is abandoned. It is for streams that
     run on, as Spark starts batches without data to look for timeouts; without it jobs wait.
     """
@@ -57,7 +57,7 @@ def finished_jobs(pieces: DataFrame, config: Config = Config(), timeout: str | N
                 if eof:
                     held["last"] = int(number)
         if not held["done"]:
-            if sum(map(len, held["pieces"].values())) > LIMIT:
+            if limit is not None and sum(map(len, held["pieces"].values())) > limit:
                 yield _row(job, "too large", None, len(held["pieces"]))
                 held = {"pieces": {}, "last": None, "done": True}
             elif held["last"] is not None and all(n in held["pieces"] for n in range(held["last"] + 1)):
@@ -77,5 +77,5 @@ def finished_jobs(pieces: DataFrame, config: Config = Config(), timeout: str | N
 def whole_jobs(pieces: DataFrame) -> DataFrame:
     """(program_id, bytes) of a table of pieces: the batch form, for programs.run_programs()."""
     parts = F.array_sort(F.collect_list(F.struct("chunk_no", "bytes")))
-    joined = F.concat(F.lit(b""), F.aggregate(parts, F.lit(b""), lambda acc, p: F.concat(acc, p["bytes"])))
+    joined = F.unhex(F.array_join(F.transform(parts, lambda p: F.hex(p["bytes"])), ""))  # one pass, however many pieces
     return pieces.groupBy(F.col("job_id").cast("string").alias("program_id")).agg(joined.alias("bytes"))

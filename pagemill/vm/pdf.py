@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 
 from . import geometry as g
@@ -34,8 +35,8 @@ class Document:
         head = f"<< {entries} /Length {len(data)} >>\nstream\n".encode("latin-1")
         return self.put(head + data + b"\nendstream", number)
 
-    def bytes(self, root: int, info: int | None) -> bytes:
-        out = bytearray(b"%PDF-1.4\n%\xe2\xe3\xcf\xd3\n")
+    def bytes(self, root: int, info: int | None, version: str = "1.7") -> bytes:
+        out = bytearray(b"%PDF-" + version.encode() + b"\n%\xe2\xe3\xcf\xd3\n")
         places = []
         for n, body in enumerate(self.objects, 1):
             places.append(len(out))
@@ -194,7 +195,9 @@ def font_object(doc: Document, f: dict, resources) -> int:
     encoding = f" /Encoding << /Type /Encoding /Differences [{' '.join(f'{c} {name_text(n)}' for c, n in sorted(diff.items()))}] >>" if diff else ""
     if diff:
         encoding += f" /ToUnicode {doc.stream('', to_unicode(diff))} 0 R"
-    return doc.put(f"<< /Type /Font /Subtype /Type1 /BaseFont {name_text(f['name'])}{encoding} >>")
+    shown = sorted(f.get("shown", ()))
+    listed_widths = f" /FirstChar {shown[0]} /LastChar {shown[-1]} /Widths {listed([f['widths'].get(c, 0) if c in f['shown'] else 0 for c in range(shown[0], shown[-1] + 1)])}" if shown else ""
+    return doc.put(f"<< /Type /Font /Subtype /Type1 /BaseFont {name_text(f['name'])}{encoding}{listed_widths} >>")
 
 
 def to_unicode(names: dict[int, str]) -> bytes:
@@ -222,6 +225,11 @@ def resource_text(doc: Document, resources, ops_of: list) -> tuple[str, list[byt
     for f in items["font"]:
         if f["kind"] != "composite":
             f["widths"] = widths_of(f)
+            f["shown"] = set()
+    for ops in (*ops_of, *(x["ops"] for kind in ("form", "pattern") for x in items[kind] if "ops" in x)):
+        for op in ops:
+            if op[0] == "text" and "shown" in items["font"][op[1]]:
+                items["font"][op[1]]["shown"].update(op[3])
     table = lambda key, letter, numbers: out.append(f"/{key} << {' '.join(f'/{letter}{i} {n}' for i, n in enumerate(numbers))} >>")
     if items["cs"]:
         table("ColorSpace", "CS", [space_text(doc, s) for s in items["cs"]])
@@ -363,4 +371,5 @@ def write(pages: list[Page], events: list[tuple], compress: bool = True) -> byte
     info = {k: v for kind, e, _ in marks if kind == "DOCINFO" for k, v in e.items() if k != "Producer"}
     held = doc.put("<< " + " ".join(f"{name_text(k)} {string_text(v)}" for k, v in info.items()) + " >>") if info else None
     doc.put(f"<< {catalog} >>", root)
-    return doc.bytes(root, held)
+    level = policy.get("CompatibilityLevel", "1.7")
+    return doc.bytes(root, held, level if re.fullmatch(r"1\.[3-7]", level) else "1.7")
