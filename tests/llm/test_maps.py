@@ -320,6 +320,35 @@ def test_em_finds_accuracies():
     assert ((model.posterior(quality.pattern_of(votes)) > 0.5) == good).mean() > 0.97
 
 
+def test_em_against_a_plain_loop():
+    rng = np.random.default_rng(3)
+    votes = rng.choice([-1, 0, 1], size=(120, 4), p=[0.3, 0.2, 0.5])
+    patterns, counts = np.unique(quality.pattern_of(votes), return_counts=True)
+    model = quality.expectation_maximisation(patterns, counts.astype(float), 4, rounds=25)
+    belief = [0.001 if 0 in v else 0.98 for v in votes.tolist()]
+    for _ in range(25):  # each text by itself, each heuristic by itself
+        chance = [[[0.5, 0.5], [0.5, 0.5]] for _ in range(4)]
+        for v, b in zip(votes.tolist(), belief):
+            for k, x in enumerate(v):
+                if x >= 0:
+                    chance[k][0][x] += 1 - b
+                    chance[k][1][x] += b
+        chance = [[[x / sum(row) for x in row] for row in both] for both in chance]
+        good = (sum(belief) + 1) / (len(belief) + 2)
+        now = []
+        for v in votes.tolist():
+            p = [1 - good, good]
+            for k, x in enumerate(v):
+                if x >= 0:
+                    p = [p[j] * chance[k][j][x] for j in (0, 1)]
+            now.append(p[1] / sum(p))
+        if max(abs(x - y) for x, y in zip(now, belief)) < 1e-7:
+            break
+        belief = now
+    assert np.allclose(model.chances, chance, atol=1e-6) and abs(model.good - good) < 1e-6
+    assert np.allclose(model.posterior(quality.pattern_of(votes)), now, atol=1e-6)
+
+
 FOREIGN = [
     "De regering heeft gisteren besloten dat er meer geld naar het onderwijs gaat en dat scholen zelf mogen kiezen.",
     "Il governo ha deciso ieri che le scuole riceveranno piu soldi e potranno scegliere da sole come spenderli.",
