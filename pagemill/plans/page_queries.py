@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import pages, scopes
-from ..sources.tables import table
+from ..sources.tables import checkpoint_folder, table
 from .registry import query
 
 
@@ -131,10 +131,7 @@ def resource_closure(spark, sf_dir):
     links = table(spark, sf_dir, "nation").select(named("r", "n_regionkey").alias("from"), named("n", "n_nationkey").alias("to"))
     links = links.unionByName(table(spark, sf_dir, "supplier").select(named("n", "s_nationkey").alias("from"), named("s", "s_suppkey").alias("to")))
     roots = table(spark, sf_dir, "region").select(named("r", "r_regionkey").alias("root"))
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    checkpoint_folder(spark)
     return pages.reached(roots, links).select(F.substring("root", 2, 9).cast("int").alias("root"), "node")
 
 

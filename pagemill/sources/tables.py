@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +22,16 @@ def attach(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Takes the shared folder that ``spark.checkpoint.dir`` names; one of this machine serves only where all runs in one process."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     attach(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
