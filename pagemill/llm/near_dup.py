@@ -335,8 +335,10 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
         now = members.join(root, "t")
         split = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
         mine, theirs = ([f"{x}{i}" for i in range(WORDS)] for x in ("v", "w"))
-        told = bags.select("t", "surplus", *[F.get("lanes", F.lit(i)).alias(x) for i, x in enumerate(mine)])
-        now = now.join(split, "key").select("key", "t", "n", "kinds", "root").join(told, "t").checkpoint()
+        # columns that can't be null: with checks for nulls the join's code would be too long to be compiled, and ten times slower
+        sure = lambda x, c: F.coalesce(c, F.lit(0)).alias(x)
+        told = bags.select("t", sure("surplus", F.col("surplus")), *[sure(x, F.get("lanes", F.lit(i))) for i, x in enumerate(mine)])
+        now = now.join(split, "key").select("key", "t", *[sure(x, F.col(x)) for x in ("n", "kinds", "root")]).join(told, "t").checkpoint()
         other = now.select("key", F.col("t").alias("pt"), F.col("n").alias("pn"), F.col("kinds").alias("pkinds"), F.col("root").alias("proot"), F.col("surplus").alias("psurplus"), *[F.col(x).alias(y) for x, y in zip(mine, theirs, strict=True)])
         shared = most_shared(mine, theirs, "surplus", "psurplus")
         repeats = F.least(F.col("n") - F.col("kinds"), F.col("pn") - F.col("pkinds"))
