@@ -94,7 +94,7 @@ def map_batches(
 
 
 #: Bytes of text that are worked on at once; bounds the memory of a worker, never what is read.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 3 << 20
 
 
 def slices(batch: pa.RecordBatch, text_col: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
