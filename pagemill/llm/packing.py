@@ -34,7 +34,7 @@ NAMES = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 #: Marks that are taken off a chunk's end where a letter or digit stands before them: a pre-token of their own.
 MARKS = ".,!?;:"
 #: Bytes of text that are encoded at once; more share their words better and take more memory.
-PART_BYTES = 5 << 20
+PART_BYTES = 6 << 20
 WORDS_AT_ONCE = 1000
 
 
