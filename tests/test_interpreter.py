@@ -219,3 +219,69 @@ def test_marks_make_outlines_and_links():
     for part in (b"/Title (A)", b"/Count -1", b"/Author (Me)", b"/URI (http://e.org)", b"/CropBox [0 0 5 5]", b"/Dests << /x ["):
         assert part in document, part
     assert b"(no)" not in document and any(e[0] == "ignored" and e[2] == "BAR" for e in vm.events)
+
+
+# -- loops that grow numbers, and data procedures that give one string --------------------------
+
+
+def both_ways(program: str, monkeypatch, budget=None):
+    """(outcome, steps, operands, output) as it is, and with every round run."""
+    from pagemill.vm import ops_data
+
+    def run():
+        vm = interpreter(Config(budget=budget))
+        return vm.job(program.encode()), vm.steps, [repr(x) for x in vm.ostack if type(x) in (int, float, bool)], bytes(vm.out)
+
+    fast = run()
+    with monkeypatch.context() as m:
+        m.setattr(ops_data, "ahead", lambda *a: 0)
+        return fast, run()
+
+
+@pytest.mark.parametrize(
+    "program",
+    [
+        "0 {1 add dup 5000 ge {exit} if} loop =",
+        "9 0 {dup -5000 le {exit} if 3 sub} loop = =",
+        "0 {1 add dup 777 eq {exit} if} loop =",
+        "0 {1 add dup 100 eq {pop 5000} if dup 6000 gt {exit} if} loop =",
+        "2147483000 {1 add} 1000 exch repeat =",
+        "1.5 {1 add dup 300 ge {exit} if} loop =",
+        "1 2 {3 add exch 1 add exch} 500 exch repeat = =",
+        "0 {1 add dup (a) eq {exit} if} loop",
+        "/add {sub} def 0 {1 add dup -400 le {exit} if} loop =",
+        "{ } loop",
+        "500 {1 pop} repeat count =",
+        "500 {7} repeat count =",
+        "0 {pop} loop",
+    ],
+)
+@pytest.mark.parametrize("budget", [100, 4321, 100_000])
+def test_rounds_taken_at_once_are_as_if_run(program, budget, monkeypatch):
+    words = program.replace("{1 add} 1000 exch repeat", "1000 {1 add} repeat").replace("{3 add exch 1 add exch} 500 exch repeat", "500 {3 add exch 1 add exch} repeat")
+    fast, plain = both_ways(words, monkeypatch, budget)
+    assert fast == plain
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("add sub dup pop exch eq ge gt le lt 1 -3 {exit} if".split()), max_size=8), st.integers(-200, 200), st.integers(50, 3000))
+def test_any_loop_of_these_words_is_as_if_run(words, first, budget):
+    with pytest.MonkeyPatch.context() as m:
+        fast, plain = both_ways(f"5 {first} {{ {' '.join(words)} }} loop count =", m, budget)
+    assert fast == plain
+
+
+def test_a_loop_that_counts_takes_few_rounds(monkeypatch):
+    from pagemill.vm import interp
+
+    calls, call = [0], interp.Interp.call
+
+    def counted(self, op):
+        calls[0] += 1
+        call(self, op)
+
+    monkeypatch.setattr(interp.Interp, "call", counted)
+    assert said("0 {1 add dup 5000000 ge {exit} if} loop =") == "5000000\n"
+    assert ended("{ } loop", budget=50_000_000) == ("budget", None)
+    assert said("usertime 20000 {1 pop} repeat usertime exch sub =") == "6\n"
+    assert calls[0] < 1000
