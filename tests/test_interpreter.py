@@ -285,3 +285,25 @@ def test_a_loop_that_counts_takes_few_rounds(monkeypatch):
     assert ended("{ } loop", budget=50_000_000) == ("budget", None)
     assert said("usertime 20000 {1 pop} repeat usertime exch sub =") == "6\n"
     assert calls[0] < 1000
+
+
+def test_a_procedure_that_is_one_string_is_not_called_for_each_byte(monkeypatch):
+    from pagemill.vm import interp
+
+    runs, run = [0], interp.Interp.run
+
+    def counted(self, x):
+        runs[0] += 1
+        run(self, x)
+
+    monkeypatch.setattr(interp.Interp, "run", counted)
+    r = one_run(b"100000 2 8 [100000 0 0 2 0 0] {(a)} image showpage", Config())
+    assert r["outcome"] == "ok" and "200000 bytes" in r["pages"][0]["ir"] and r["steps"] > 400_000
+    assert ended("100000 2 8 [100000 0 0 2 0 0] {(a)} image showpage", budget=399_000) == ("budget", None)
+    assert runs[0] < 100
+
+
+def test_bytes_of_a_procedure_come_in_whole_strings():
+    r = one_run(b"/n 0 def 7 3 8 [7 0 0 3 0 0] {(abcd)} image 7 3 8 [7 0 0 3 0 0] {/n n 1 add def (abcd)} image n = showpage", Config())
+    assert r["stdout"] == b"6\n"
+    assert r["pages"][0]["ir"].count("21 bytes") == 1  # the same image twice
