@@ -307,3 +307,54 @@ def test_bytes_of_a_procedure_come_in_whole_strings():
     r = one_run(b"/n 0 def 7 3 8 [7 0 0 3 0 0] {(abcd)} image 7 3 8 [7 0 0 3 0 0] {/n n 1 add def (abcd)} image n = showpage", Config())
     assert r["stdout"] == b"6\n"
     assert r["pages"][0]["ir"].count("21 bytes") == 1  # the same image twice
+
+
+# -- what a program costs -----------------------------------------------------------------------
+
+
+def calls_of(function) -> int:
+    """Calls of Python functions that it takes the second time."""
+    import sys
+
+    function()
+    n = 0
+
+    def count(frame, event, arg):
+        nonlocal n
+        n += event == "call"
+
+    sys.setprofile(count)
+    try:
+        function()
+    finally:
+        sys.setprofile(None)
+    return n
+
+
+def test_a_document_takes_few_calls():
+    def made():
+        vm = interpreter(Config())
+        vm.job(b"/Helvetica 12 selectfont 72 700 moveto (1-URGENT) show 72 72 123 40 rectfill showpage")
+        assert pdf.write(vm.graphics.pages, vm.events).endswith(b"%%EOF\n")
+
+    assert calls_of(made) < 800  # 1,346 with each face's widths made anew
+
+
+def test_operations_take_few_calls():
+    from pagemill.operators.programs import MADE
+
+    def made():
+        vm = interpreter(Config())
+        assert len(MADE["ops"](vm, vm.job(b"17 1 moveto 36 2 lineto 8 3 lineto 28 4 lineto stroke showpage"))) == 2
+
+    assert calls_of(made) < 260
+
+
+def test_a_word_is_the_same_token_wherever_it_ends():
+    from pagemill.vm import scanner
+
+    assert [t[:2] for t in scanner.tokens(b"%c\r12\r\n/a 1.5%x\nb/c//d{16#1F}x")] == [
+        ("number", 12), ("literal", "a"), ("number", 1.5), ("name", "b"), ("literal", "c"), ("immediate", "d"), ("open", None), ("number", 31), ("close", None), ("name", "x"),
+    ]
+    assert scanner.token(b"ab\r\nc", 0) == (("name", "ab"), 4) and scanner.token(b"ab\n\nc", 0) == (("name", "ab"), 3)
+    assert scanner.token(b"  % only", 0) == (scanner.END, 8)

@@ -80,3 +80,14 @@ def test_families_for_far_suppliers(spark, tmp_path, name):
     db = duckdb.connect()
     db.sql(f"create view supplier as select * from '{tmp_path}/supplier.parquet/*.parquet'")
     assert rows(QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(db.sql(SQL[name]).df())
+
+
+def test_only_the_columns_that_are_wanted(spark):
+    from pagemill.operators import programs as p
+
+    made = p.programs(spark.createDataFrame([(1, "1 2 moveto 3 4 5 6 7 8 curveto [1 2] 3 setdash stroke 1 setgray 0 0 5 5 rectfill showpage"), (2, "1 0 div"), (3, "showpage")], "id int, program string"), "id", "program")
+    whole, part = p.run_programs(made), p.run_programs(made, only=("ops", "outcome"))
+    assert part.columns == ["program_id", "ops", "outcome"]
+    assert part.orderBy("program_id").collect() == whole.select("program_id", "ops", "outcome").orderBy("program_id").collect()
+    one = p.one_run(b"1 2 moveto 3 4 5 6 7 8 curveto [1 2] 3 setdash stroke 1 setgray 0 0 5 5 rectfill showpage", p.Config())
+    assert [o.asDict(True) for o in whole.where("program_id = 1").first().ops] == [{k: o[k] for k in ("page_no", "seq", "op", "nums", "ref", "path")} for o in one["ops"]]
