@@ -12,10 +12,11 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import attach
+from ..sources.tables import attach, give_back
 
 #: Programs of a batch; each batch's results leave the worker before the next one begins.
 BATCH = 256
@@ -284,6 +285,26 @@ def distill(df: DataFrame, config: Config = Config()) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+#: Bytes that are worked on at once in a column's codec; bounds the memory of a worker, never what is read.
+PART_BYTES = 1 << 20
+
+
+#: Rows of an Arrow batch where values may be long: the setting, Spark's own number and the one taken here.
+ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000")
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch (id, bytes) of at most PART_BYTES each, but of one row at least; one if the batch is empty."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+    first = held = 0
+    for i, n in enumerate(sizes):
+        if i > first and held + n > PART_BYTES:
+            yield batch.slice(first, i - first)
+            first, held = i, 0
+        held += n
+    yield batch.slice(first)
+
+
 CODECS = ("ascii_hex", "ascii85", "run_length", "flate", "lzw")
 
 
@@ -291,7 +312,9 @@ def encode_column(df: DataFrame, id_col: str, bytes_col: str, codec: str, decode
     """(id, bytes) of a binary column through one of CODECS; what can't be decoded, or is null, is null."""
     if codec not in CODECS:
         raise ValueError(f"one of {CODECS}")
-    attach(df.sparkSession)
+    spark = attach(df.sparkSession)
+    if spark.conf.get(ROWS[0], None) in (None, ROWS[1]):
+        spark.conf.set(ROWS[0], ROWS[2])
     kept = df.select(F.col(id_col), F.col(bytes_col).cast("binary").alias("bytes"))
 
     def run(batches):
@@ -308,6 +331,9 @@ def encode_column(df: DataFrame, id_col: str, bytes_col: str, codec: str, decode
                 return None
 
         for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([safe(x) for x in batch.column("bytes").to_pylist()], pa.binary())], names=[id_col, "bytes"])
+            for part in _parts(batch):
+                yield pa.record_batch([part.column(0), pa.array([safe(x.as_py()) for x in part.column(1)], pa.binary())], names=[id_col, "bytes"])
+            del batch, part
+            give_back()
 
     return kept.mapInArrow(run, f"`{id_col}` {kept.schema[id_col].dataType.simpleString()}, bytes binary")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import re
 import tempfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +25,13 @@ def attach(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def give_back() -> None:
+    """Returns freed memory of a worker to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def checkpoint_folder(spark: SparkSession) -> None:
     """Takes the shared folder that ``spark.checkpoint.dir`` names; one of this machine serves only where all runs in one process."""
     context = spark.sparkContext

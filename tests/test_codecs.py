@@ -50,3 +50,39 @@ def test_tokens():
     kinds = [(k, v) for k, v, *_ in scanner.tokens(b"/a {1 (x\\051) <41> } % no\n//b << >> [")]
     assert kinds == [("literal", "a"), ("open", None), ("number", 1), ("string", b"x)"), ("string", b"A"), ("close", None), ("immediate", "b"), ("name", "<<"), ("name", ">>"), ("name", "[")]
     assert list(scanner.tokens(b"(ab"))[-1][:2] == ("error", "syntaxerror")
+
+
+def test_base_85_by_groups(monkeypatch):
+    data = bytes(range(256)) * 40 + b"\0" * 41 + b"xyz"
+    whole = c.ascii85_encode(data)
+    assert c.ascii85_decode(whole) == (data, len(whole))
+    monkeypatch.setattr(c, "GROUPS", 3)
+    assert c.ascii85_encode(data) == whole and c.ascii85_decode(whole) == (data, len(whole))
+    for wrong in (b"abz~>", b"uuuuu~>", b"a~>", b"ab\xffde~>", b"!!!!!abcd~~>"):
+        with pytest.raises(c.BadData):
+            c.ascii85_decode(wrong)
+
+
+def test_text_codecs_take_few_steps():
+    """Work by the byte in Python took more than a second for each of these."""
+    from time import process_time
+
+    data = bytes(range(256)) * 8000
+    before = process_time()
+    for encode, decode in ((c.ascii_hex_encode, c.ascii_hex_decode), (c.ascii85_encode, c.ascii85_decode)):
+        assert decode(encode(data))[0] == data
+    assert process_time() - before < 2
+
+
+def test_long_values_are_worked_on_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    from pagemill.operators import programs as p
+
+    monkeypatch.setattr(p, "PART_BYTES", 100)
+    values = [b"x" * 60, b"y" * 60, None, b"", b"z" * 500, b"a", b"b"]
+    batch = pa.record_batch([pa.array(range(7)), pa.array(values, pa.binary())], names=["id", "bytes"])
+    parts = [x.column(1).to_pylist() for x in p._parts(batch)]
+    assert sum(parts, []) == values and max(len(x) for x in parts) == 3
+    assert all(len(x) == 1 or sum(len(v or b"") for v in x) <= 100 for x in parts)
+    assert [x.num_rows for x in p._parts(batch.slice(0, 0))] == [0]
