@@ -74,7 +74,7 @@ def test_every_operator_has_a_case():
 FAR = [0, 1, 150, 1999, 2000, 2902, 4931, 5923, 43638, 99_999, 189_151, 255_806, 322_461, 359_999]
 
 
-@pytest.mark.parametrize("name", ["program_paint_ops", "program_path_ops"])
+@pytest.mark.parametrize("name", ["program_arithmetic_ops", "program_paint_ops", "program_path_ops"])
 def test_families_for_far_suppliers(spark, tmp_path, name):
     spark.createDataFrame([(k, k % 25) for k in FAR], "s_suppkey bigint, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
     db = duckdb.connect()
