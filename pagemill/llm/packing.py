@@ -20,116 +20,210 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import attach, dictionary_of_chunks, id_and_text, ragged_take, slices
+from .common import attach, id_and_text, ragged_take, slices
 
 SMALL = 64
-#: Words whose ids a worker keeps between batches; bounds its memory only.
-KEPT_WORDS = 80_000
+#: Words whose ids a worker keeps between batches, and bytes of the longest; bound its memory only.
+KEPT_WORDS, KEPT_BYTES = 400_000, 64
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NAMES = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
-#: Marks that are taken off a chunk's end where a letter or digit stands before them: a pre-token of their own.
-MARKS = ".,!?;:"
 #: Bytes of text that are encoded at once; more share their words better and take more memory.
 PART_BYTES = 6 << 20
 WORDS_AT_ONCE = 1000
+#: What the words of a text are under: other vocabularies get whole texts.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: Kinds of bytes: white space, letters, digits, marks, and what only the library may cut.
+BLANK, LETTER, DIGIT, MARK, OTHER = range(5)
 
 
 class ChunkEncoder:
     """Ids of texts by the tokenizers library, each distinct word encoded once.
 
-    A chunk between blanks is a word and the marks after it. Words of letters alone are one pre-token each, so
-    many of them are encoded in one call, without the normaliser and pattern that would change nothing, and
-    told apart by the tokens that end a word. Everything else goes through the library as it stands.
+    White space ends a chunk, and no token spans it. Chunks of characters that stand for themselves after the
+    normaliser (ASCII, and of two bytes those that the library confirms) are cut into words where letters,
+    digits and marks meet, all texts at once; other chunks (contractions, special strings, combining marks)
+    are words as they stand. Distinct words that aren't kept go through the library: cut ones many in a call,
+    without the normaliser and pattern that would change nothing, and told apart by the tokens that end a word.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.whole, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.plain.normalizer = normalizers.Lowercase()
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        for tokenizer in (self.whole, self.plain):
-            tokenizer.no_truncation()
-            tokenizer.no_padding()
+        self.whole = Tokenizer.from_file(path)
+        self.whole.no_truncation()
+        self.whole.no_padding()
+        self.plain = Tokenizer(self.whole.model)
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        suffix = spec["model"].get("end_of_word_suffix")
-        vocab = spec["model"]["vocab"]
-        self.ends = np.zeros(max(vocab.values()) + 1 + len(spec["added_tokens"]), bool)
-        if suffix:
-            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
-        self.joins = bool(suffix) and any(n["type"] == "Lowercase" for n in (spec.get("normalizer") or {}).get("normalizers", []))
-        self.kept: dict[str, list[int]] = {}
-
-    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, number of each word) of words of letters."""
-        text = " ".join(words)
-        if self.joins and unicodedata.is_normalized("NFC", text) and text.lower().replace(" ", "").isalpha():
-            ids = np.array(self.plain.encode(text, add_special_tokens=False).ids, np.uint32)
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(words):
-                return ids, np.diff(stops, prepend=0)
-        return self._any(words)
-
-    def _any(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.whole.encode_batch(pieces, add_special_tokens=False)]
-        return _flat(found)
-
-    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, number of each piece, place of each piece in that order)."""
-        old, words, rest = [], [], []
-        for i, piece in enumerate(pieces):
-            (old if piece in self.kept else words if piece.isalpha() else rest).append(i)
-        parts = [_flat([self.kept[pieces[i]] for i in old])]
-        for numbers, encode in ((words, self._words), (rest, self._any)):
-            for a in range(0, len(numbers), WORDS_AT_ONCE):
-                parts.append(encode([pieces[i] for i in numbers[a : a + WORDS_AT_ONCE]]))
-        place = np.empty(len(pieces), np.int64)
-        place[np.array(old + words + rest, np.int64)] = np.arange(len(pieces))
-        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), place
+        added = spec["added_tokens"]
+        self.cuts = bool(spec["model"].get("end_of_word_suffix")) and spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == PRE_TOKENIZER
+        self.cuts &= all(len(t["content"]) > 1 and t["content"].isascii() and not any(t[k] for k in ("single_word", "lstrip", "rstrip", "normalized")) for t in added)
+        if self.cuts:
+            self._tables(spec["model"]["vocab"], spec["model"]["end_of_word_suffix"], [t["content"] for t in added])
+        self.words, self.ids = pa.array([], pa.large_binary()), np.zeros(0, np.uint32)
+        self.sizes, self.uses = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _tables(self, vocab: dict[str, int], suffix: str, special: list[str]) -> None:
+        """Kind and lower case of each byte and of each character of two bytes, as the library has them; tokens that end a word."""
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        self.special = {tuple(s.encode()[:2]) for s in special}
+        normal, cut = self.whole.normalizer.normalize_str, self.whole.pre_tokenizer.pre_tokenize_str
+        self.kinds, self.lower = np.full(256, OTHER, np.uint8), np.arange(256, dtype=np.uint8)
+        self.pair_kinds, self.pair_lower = np.full(2048, OTHER, np.uint8), np.zeros((2048, 2), np.uint8)
+        self.letters, self.quoted = np.zeros(256, np.uint16), np.zeros(256, bool)
+        self.quoted[list(b"strvmldSTRVMLD")] = True
+        self.kinds[list(b" \n")] = BLANK
+        for code in range(33, 2048):
+            c = chr(code)
+            low = normal(c)
+            if unicodedata.category(c)[0] in "CMZ" or len(low) != 1 or len(low.encode()) != len(c.encode()) or normal(f"a{c}a") != f"a{low}a" or normal(f"a{c}") != f"a{low}":
+                continue
+            kind = LETTER if len(cut(f"a{low}a")) == 1 else MARK if len(cut(f"!{low}!")) == 1 else DIGIT
+            if code < 128:
+                self.kinds[code], self.lower[code] = kind, ord(low)
+            elif kind != DIGIT:
+                self.pair_kinds[code], self.pair_lower[code] = kind, list(low.encode())
+        # the vocabulary's letters for bytes: themselves if printable, else from 256 on; a blank stays between words
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = sorted({*range(256)} - {*printable})
+        self.letters[printable], self.letters[hidden] = printable, range(256, 256 + len(hidden))
+        self.letters[ord(" ")] = ord(" ")
+
+    def _units(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """(words of all texts, which of them are chunks as they stand, bounds by text)."""
+        texts = texts.cast(pa.large_string())
+        texts.validate(full=True)
+        at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+        at = at - at[0]
+        kind, low = self.kinds[raw], self.lower[raw]
+        two = np.flatnonzero((raw >= 0xC0) & (raw < 0xE0))
+        code = ((raw[two] & 0x1F).astype(np.int64) << 6) | (raw[two + 1] & 0x3F)
+        known = self.pair_kinds[code] != OTHER
+        two, code = two[known], code[known]
+        kind[two] = kind[two + 1] = self.pair_kinds[code]
+        low[two], low[two + 1] = self.pair_lower[code, 0], self.pair_lower[code, 1]
+        quotes = np.flatnonzero(raw[:-1] == ord("'"))
+        kind[quotes[self.quoted[raw[quotes + 1]]]] = OTHER
+        for a, b in self.special:
+            kind[:-1][(raw[:-1] == a) & (raw[1:] == b)] = OTHER
+        begins = np.zeros(len(raw) + 1, bool)
+        begins[at] = True
+        filled = kind != BLANK
+        first = filled.copy()
+        first[1:] &= ~filled[:-1] | begins[1:-1]
+        unit = filled.copy()
+        unit[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT) | begins[1:-1]
+        chunks = np.flatnonzero(first)
+        whole = np.zeros(len(raw), bool)
+        if len(chunks):
+            odd = np.logical_or.reduceat(kind == OTHER, chunks)
+            if odd.any():
+                last = filled.copy()
+                last[:-1] &= ~filled[1:] | begins[1:-1]
+                steps = np.zeros(len(raw) + 1, np.int8)
+                steps[chunks[odd]] = 1
+                steps[np.flatnonzero(last)[odd] + 1] -= 1
+                whole = np.cumsum(steps[:-1], dtype=np.int8).view(bool)
+                unit[whole] = first[whole]
+                np.copyto(low, raw, where=whole)
+        del kind, first, begins
+        starts = np.flatnonzero(unit)
+        data = low[filled]
+        ends = np.append(np.flatnonzero(unit[filled]), len(data))
+        units = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+        return units, whole[starts], np.searchsorted(starts, at)
+
+    def _plain(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of each word) of words that need no cutting."""
+        at = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+        data = np.frombuffer(words.buffers()[2], np.uint8)[at[0] : at[-1]]
+        at = at - at[0]
+        text = self.letters[np.insert(data, at[1:], ord(" "))].tobytes().decode("utf-16-le")
+        ids, counts = [], []
+        for a in range(0, len(words), WORDS_AT_ONCE):
+            b = min(a + WORDS_AT_ONCE, len(words))
+            part = text[at[a] + a : at[b] + b - 1]
+            found = np.array(self.plain.encode_batch_fast([part], add_special_tokens=False)[0].ids, np.uint32)
+            stops = np.flatnonzero(self.ends[found]) + 1
+            if len(stops) == b - a:
+                ids.append(found)
+                counts.append(np.diff(stops, prepend=0))
+            else:
+                found, number = self._whole(words[a:b])
+                ids.append(found)
+                counts.append(number)
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _whole(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        parts = []
+        for a in range(0, len(words), WORDS_AT_ONCE):
+            texts = words[a : a + WORDS_AT_ONCE].cast(pa.large_string()).to_pylist()
+            parts.append(_flat([e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]))
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _new(self, words: pa.Array, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first id and number of each word)."""
+        parts, counts = [np.zeros(0, np.uint32)], np.zeros(len(words), np.int64)
+        order = np.argsort(whole, kind="stable")
+        for mask, encode in ((~whole, self._plain), (whole, self._whole)):
+            if mask.any():
+                found, counts[mask] = encode(words.filter(pa.array(mask)))
+                parts.append(found)
+        starts = np.empty(len(words), np.int64)
+        starts[order] = np.cumsum(counts[order]) - counts[order]
+        return np.concatenate(parts), starts, counts
+
+    def _keep(self, words: pa.Array, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, uses: np.ndarray) -> None:
+        """Keeps short words; when there are too many, those that were used most."""
+        kept = np.flatnonzero(pc.binary_length(words).to_numpy() <= KEPT_BYTES)
+        if len(kept) > KEPT_WORDS:
+            kept = np.sort(kept[np.argpartition(-uses[kept], KEPT_WORDS // 2)[: KEPT_WORDS // 2]])
+            uses = uses // 2
+        self.words, self.uses, self.sizes = words.take(pa.array(kept)), uses[kept], sizes[kept]
+        self.ids = ragged_take(ids, starts[kept], sizes[kept])
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in text order, each text followed by ``end_id``; bounds by text."""
-        index, chunks, bounds = dictionary_of_chunks(texts)
-        number: dict[str, int] = {"": 0}
-        pairs = np.zeros((len(chunks) + 1, 2), np.int64)
-        stems, tails = [], []
-        for chunk in chunks:
-            stem = chunk.rstrip(MARKS)
-            if len(stem) < len(chunk) and stem and stem[-1].isalnum():
-                tails.append(number.setdefault(chunk[len(stem) :], len(number)))
-            else:
-                stem = chunk
-                tails.append(0)
-            if stem.isascii() and stem.isalpha():
-                stem = stem.lower()
-            stems.append(number.setdefault(stem, len(number)))
-        pairs[:-1, 0], pairs[:-1, 1] = stems, tails
-        pieces = list(number)
-        ids, sizes, place = self._pieces(pieces)
-        starts = np.cumsum(sizes) - sizes
-        if len(self.kept) > KEPT_WORDS:
-            self.kept.clear()
-        uses = np.bincount(pairs[index].ravel(), minlength=len(pieces))
-        for i in np.flatnonzero(uses > 3).tolist():
-            if pieces[i] not in self.kept:
-                a = starts[place[i]]
-                self.kept[pieces[i]] = ids[a : a + sizes[place[i]]].tolist()
-        # each distinct chunk's ids, the end id as one more chunk, then all chunks of all texts in order
-        both = place[pairs.ravel()]
-        flat = np.append(ragged_take(ids, starts[both], sizes[both]), np.uint32(end_id))
-        sizes = sizes[both].reshape(-1, 2).sum(axis=1)
-        sizes[-1] = 1
-        starts = np.cumsum(sizes) - sizes
-        order = np.insert(index.astype(np.int64), bounds[1:], len(sizes) - 1)
+        if self.cuts:
+            units, whole, bounds = self._units(texts)
+        else:
+            units, whole, bounds = texts.cast(pa.large_binary()), np.ones(len(texts), bool), np.arange(len(texts) + 1)
+        coded = units.dictionary_encode()
+        index, words = coded.indices.to_numpy(), coded.dictionary
+        row = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(row < 0)
+        as_is = np.zeros(len(words), bool)
+        as_is[index[whole]] = True
+        words = words.take(pa.array(new))
+        ids, starts, sizes = self._new(words, as_is[new])
+        # ids of kept words, of new words and the end id, then those of all words of all texts in order
+        row[new] = len(self.words) + np.arange(len(new))
+        starts = np.concatenate([np.cumsum(self.sizes) - self.sizes, starts + len(self.ids), [len(self.ids) + len(ids)]])
+        sizes = np.concatenate([self.sizes, sizes, [1]])
+        ids = np.concatenate([self.ids, ids, np.array([end_id], np.uint32)])
+        uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
+        uses[row] += np.bincount(index, minlength=len(row))
+        self._keep(pa.concat_arrays([self.words, words]), ids, starts[:-1], sizes[:-1], uses)
+        order = np.insert(row[index], bounds[1:], len(sizes) - 1)
         taken = sizes[order]
         running = np.concatenate([[0], np.cumsum(taken)])
-        return ragged_take(flat, starts[order], taken), running[bounds + np.arange(len(bounds))]
+        return ragged_take(ids, starts[order], taken), running[bounds + np.arange(len(bounds))]
 
 
 def _flat(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:

@@ -33,6 +33,37 @@ def test_counts_and_ids_are_the_librarys(texts):
     assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [x + [1] for x in expected]
 
 
+CUTS = st.lists(st.sampled_from(["'s", "'LL", "don't", "'", "<|", "|>", "<|endoftext|>", "<|EndOfText|>", "The", "É", "e\u0301", "Σ", "İ", "²", "١٢", "12", "...", "!?", " ", "\n", "\t", "\x85", "中", "Ж"]), max_size=12).map("".join)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(CUTS | ODD, min_size=1, max_size=5), st.integers(0, 8))
+def test_ids_are_the_librarys_whatever_is_kept(texts, kept):
+    own, texts = packing.encoder(PATH), [*texts, "x" * 100, *texts]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(packing, "KEPT_WORDS", kept)
+        for part in (pa.array(texts), pa.array(["é", *texts]).slice(1)):
+            ids, bounds = own.encode(part, 1)
+            assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [TOKENIZER.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+            assert len(own.words) <= kept
+
+
+def test_a_word_of_an_earlier_part_is_not_encoded_again():
+    texts = pa.array([f"word{chr(97 + i % 26)}{chr(97 + i // 26)} Größe{i}, don't{i}" for i in range(600)])
+    own = packing.ChunkEncoder(PATH)
+    ids, bounds = own.encode(texts, 1)
+    own.plain = own.whole = None
+    again = own.encode(texts, 1)
+    assert again[0].tolist() == ids.tolist() and again[1].tolist() == bounds.tolist()
+
+
+def test_other_vocabularies_get_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, texts = Tokenizer.from_file(path), ["Hello  there, I'm é\n x 12", "", " Hello"]
+    ids, bounds = packing.ChunkEncoder(path).encode(pa.array(texts), 1)
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [library.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+
+
 def test_token_counts_of_edge_rows(edge_docs, no_docs):
     rows = sorted(token_count.token_counts(edge_docs).collect(), key=lambda r: (r.doc_id is None, r.doc_id))
     expected = sorted(((i, len((t or "").encode()), len(TOKENIZER.encode(t or "", add_special_tokens=False).ids)) for i, t, _ in TEXTS), key=lambda r: (r[0] is None, r[0]))
